@@ -22,6 +22,7 @@ from tamiz.llm.shared import filesystem, get_bytes, put_bytes, settle
 
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 1 << 17
+MOST_TASKS = 4096
 MANIFEST = "block long, path string, batch int, docs long, bytes long"
 PACKET = "bucket long, block long, data binary"
 
@@ -97,7 +98,7 @@ def write_blocks(docs: DataFrame, root: str, batch_of: str = "0", block_bytes: i
 def spread(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The blocks dealt out evenly: a task per block, up to a few thousand tasks."""
     n = manifest.count()
-    return manifest.select("block", "path").repartition(max(1, min(n, 4096)))
+    return manifest.select("block", "path").repartition(max(1, min(n, MOST_TASKS)))
 
 
 def buckets_for(items: float, each: int = 1 << 20) -> int:
@@ -137,7 +138,8 @@ def at_buckets(sent: DataFrame, answer: Callable[[int, list[bytes]], list[bytes
         keep = [(block[i], r) for i, r in zip(order, replies, strict=True) if r is not None]
         return pa.table({"bucket": pa.array([bucket] * len(keep), pa.int64()), "block": pa.array([k[0] for k in keep], pa.int64()), "data": pa.array([k[1] for k in keep], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, PACKET)
+    # A fixed number of partitions: answers are small, so by their bytes the tasks would be merged into a few.
+    return sent.repartition(min(n, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(run, PACKET)
 
 
 def at_blocks(blocks: DataFrame, replies: DataFrame, then: Callable[[int, str, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
@@ -149,7 +151,8 @@ def at_blocks(blocks: DataFrame, replies: DataFrame, then: Callable[[int, str, d
         path = got.pop(-1).decode()
         return then(t.column("block")[0].as_py(), path, got)
 
-    return head.unionByName(replies).groupBy("block").applyInArrow(run, schema)
+    tasks = max(1, min(blocks.count(), MOST_TASKS))
+    return head.unionByName(replies).repartition(tasks, "block").groupBy("block").applyInArrow(run, schema)
 
 
 def bits_back(keys: np.ndarray, n: int, got: dict[int, bytes]) -> np.ndarray:
