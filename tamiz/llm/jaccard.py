@@ -14,8 +14,8 @@ for the light sets, list entries to scan for the heavy ones (and for the light o
 A shingle that only one set has can match nothing and is never written; a set with too few shared shingles is out.
 
 Sets that share an entry are candidates.  In a list, all are first checked against one of them, a star; components are
-formed of the links found, and only sets of a list that are still in different components are checked in pairs.  Every
-candidate is checked on the whole sets.  So a group of copies costs its size, not its square, and no link between
+formed of the links found, and only sets of a list that are still in different components are paired, if the parities
+of their hash bins allow the similarity.  Every candidate is checked on the whole sets.  So a group of copies costs its size, not its square, and no link between
 components is lost.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer words than a shingle is
@@ -39,8 +39,9 @@ from tamiz.llm.shingles import components, shingle_sets
 WIDTH, PERCENT = 5, 80
 LAST = np.iinfo(np.int64).max
 ROW_BITS = 20
-SURVIVOR = "node long, doc_id long, n long, ranked binary, codes binary, toks binary, light_cost double, heavy_cost double"
+SURVIVOR = "node long, doc_id long, n long, ranked binary, codes binary, toks binary, light_cost double, heavy_cost double, bits array<long>"
 PAIR_ROUNDS = 2
+WORDS = 8
 
 
 def frequency_code(df: np.ndarray) -> np.ndarray:
@@ -62,6 +63,15 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([B.mix64(a), b], 1)
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """WORDS 64-bit words: for each bin of the shingles' hashes whether an odd number fell there.
+
+    Bins that differ between two sets are no more than the shingles that only one of them has.
+    """
+    odd = np.bincount((tokens >> np.uint64(8)) & np.uint64(64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def same_sets(manifest: DataFrame, spark, root: str, width: int, size: int) -> DataFrame:
     """Join equal sets; every block learns the node (first row) and smallest doc_id of its rows' sets."""
     n = B.buckets_for(size / 200, 1 << 18)
@@ -152,10 +162,10 @@ def survivors(docs: DataFrame, root: str, width: int, percent: int) -> tuple[Dat
                 continue
             first = shared[np.lexsort((t[shared], c[shared]))][: room + 1]
             m = len(first)
-            out.append(((block << ROW_BITS) + row, doc, len(t), t[first].tobytes(), c[first].tobytes(), t.tobytes(), m * (m - 1) / 2, float(code_frequency(c[first[:room]]).sum())))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "doc_id", "n", "ranked", "codes", "toks", "light_cost", "heavy_cost"), cols, kinds, strict=True)})
+            out.append(((block << ROW_BITS) + row, doc, len(t), t[first].tobytes(), c[first].tobytes(), t.tobytes(), m * (m - 1) / 2, float(code_frequency(c[first[:room]]).sum()), parities(t)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 9
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "doc_id", "n", "ranked", "codes", "toks", "light_cost", "heavy_cost", "bits"), cols, kinds, strict=True)})
 
     counts = B.at_buckets(B.at_blocks(manifest, reps, send_tokens, B.PACKET), count_tokens, n)
     live = settle(B.at_blocks(manifest, counts, rank, SURVIVOR), f"{root}/survivors")
@@ -247,8 +257,11 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             star = now.groupBy("sig").agg(middle.alias("p")).select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
             pairs = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         else:
-            other = now.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pairs = now.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & fits).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+            # The parities bound the difference of two sets from below, so a pair over the bound needs no check.
+            now = settle(now.join(live.select("node", *(F.col("bits")[k].alias(f"b{k}") for k in range(WORDS))), "node"), f"{root}/bits")
+            other = now.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), *(F.col(f"b{k}").alias(f"p{k}") for k in range(WORDS)))
+            near = F.expr(f"{100 + percent} * ({' + '.join(f'bit_count(b{k} ^ p{k})' for k in range(WORDS))}) <= {100 - percent} * (n + pn)")
+            pairs = now.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & fits & near).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
