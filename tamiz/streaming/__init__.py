@@ -1,0 +1 @@
+"""Nothing streams yet: every operator works on whole tables. Progress is reported by callbacks (see plans)."""
