@@ -1,17 +1,395 @@
-"""Queries over the driver's tables, one or more per operator."""
+"""Queries over the driver's tables, one or more per operator, with the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamiz.functions import text
+from tamiz.operators import bridges, joins, keys, quality, relationships
+from tamiz.operators.profile import dominant_patterns, frequencies, profile, top_values
+from tamiz.sources.jdbc import sample_exact
+
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+FOREIGN = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id")]
+#: Texts that try the value functions.
+NASTY = ["=cmd|calc", "+SUM(A1)", "@algo", "-5", "-x", "plain", "N/A", " - ", "", "Bogotá D.C.", "SAN  JOSÉ", "Ñandú Ü ß ø", "P-0012", "000", "12-3", "a,b"]
+ONE_OF = {}
+ORACLE: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        ONE_OF[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(ONE_OF)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def nasty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in NASTY], "v string")
+
+
+def _values(items) -> str:
+    return "(VALUES " + ", ".join("('" + v.replace("'", "''") + "')" for v in items) + ") t(v)"
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _freq(spark: SparkSession, d: str, wanted: list[tuple[str, str]]) -> DataFrame:
+    """(source, column, value, cnt) of some columns."""
+    return _union([frequencies(read(spark, d, t).select(c)).withColumn("source", F.lit(t)) for t, c in dict.fromkeys(wanted)])
+
+
+def _stats(spark: SparkSession, d: str, pairs, chain: str = "exact") -> DataFrame:
+    freq = _freq(spark, d, [x for a, b, p, q in pairs for x in ((a, b), (p, q))])
+    names = spark.createDataFrame([(i, f"{a}.{b}", f"{p}.{q}") for i, (a, b, p, q) in enumerate(pairs)], "id long, child string, parent string")
+    return relationships.inclusion(freq, [(i, *p, chain) for i, p in enumerate(pairs)]).join(F.broadcast(names), "id")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """How orders would join customers: inclusion, coverage, score and expected rows of every relationship of the star schema."""
+    return candidate_scores(spark, sf_dir)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, COUNT(*) AS n FROM {t}" for t in TABLES))
+def scan_row_counts(spark, d):
+    return _union([read(spark, d, t).agg(F.lit(t).alias("source"), F.count("*").alias("n")) for t in TABLES])
+
+
+def _base(spark, d, table):
+    df = read(spark, d, table)
+    f = frequencies(df).groupBy("column").agg(F.count("*").alias("n_distinct"), F.sum("cnt").alias("n_values"))
+    total = df.agg(F.count("*").alias("n_rows"))
+    return f.crossJoin(F.broadcast(total)).select("column", "n_rows", "n_values", "n_distinct", F.round(F.col("n_distinct") / F.col("n_values"), 6).alias("uniqueness"))
+
+
+def _base_sql(table, columns):
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) AS n_rows, COUNT({c}) AS n_values, COUNT(DISTINCT {c}) AS n_distinct, ROUND(COUNT(DISTINCT {c}) / COUNT({c}), 6) AS uniqueness FROM {table}" for c in columns)
+
+
+@query(_base_sql("lineitem", "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()))
+def base_stats_numeric(spark, d):
+    return _base(spark, d, "lineitem")
+
+
+@query(_base_sql("customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split()))
+def base_stats_text(spark, d):
+    return _base(spark, d, "customer")
+
+
+@query(_base_sql("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()))
+def base_stats_timestamp(spark, d):
+    return _base(spark, d, "orders")
+
+
+@query("SELECT MIN(l_quantity) AS min_quantity, MAX(l_extendedprice) AS max_price, MIN(l_shipdate) AS first_ship, MAX(l_returnflag) AS last_flag FROM lineitem")
+def typed_min_max(spark, d):
+    return read(spark, d, "lineitem").agg(F.min("l_quantity").alias("min_quantity"), F.max("l_extendedprice").alias("max_price"), F.min("l_shipdate").alias("first_ship"), F.max("l_returnflag").alias("last_flag"))
+
+
+@query("SELECT ROUND(AVG(l_quantity), 4) AS mean, ROUND(MEDIAN(l_quantity), 4) AS median, ROUND(QUANTILE_CONT(l_extendedprice, 0.95), 4) AS p95 FROM lineitem")
+def mean_median_p95(spark, d):
+    return read(spark, d, "lineitem").agg(F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.median("l_quantity"), 4).alias("median"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95"))
+
+
+@query("SELECT ROUND(QUANTILE_CONT(l_quantity, 0.95), 4) AS p95 FROM lineitem")
+def frequency_percentile(spark, d):
+    f = frequencies(read(spark, d, "lineitem").select("l_quantity"))
+    return f.agg(F.round(F.percentile(F.col("value").cast("double"), 0.95, F.col("cnt")), 4).alias("p95"))
+
+
+@query("SELECT 'documents' AS source, MIN(LENGTH(text))::BIGINT AS shortest, MAX(LENGTH(text))::BIGINT AS longest, ROUND(AVG(LENGTH(text)), 4) AS mean FROM documents UNION ALL SELECT 'conversations', MIN(LENGTH(text))::BIGINT, MAX(LENGTH(text))::BIGINT, ROUND(AVG(LENGTH(text)), 4) FROM conversations")
+def text_lengths(spark, d):
+    n = F.length("text").cast("long")
+    return _union([read(spark, d, t).agg(F.lit(t).alias("source"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.round(F.avg(n), 4).alias("mean")) for t in ("documents", "conversations")])
+
+
+_EMPTY = ", ".join(f"'{v}'" for v in text.EMPTY_LIKE)
+
+
+@query(f"SELECT COUNT(*) AS n, SUM(CASE WHEN trim(v) IN ({_EMPTY}) THEN 1 ELSE 0 END)::BIGINT AS empty_like FROM (SELECT v FROM {_values(NASTY)} UNION ALL SELECT source FROM documents)")
+def empty_like_count(spark, d):
+    v = nasty(spark).union(read(spark, d, "documents").select("source"))
+    return v.agg(F.count("*").alias("n"), F.count_if(text.is_empty_like(F.col("v"))).alias("empty_like"))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", {c} AS value, COUNT(*) AS cnt FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY cnt DESC, value LIMIT 20)" for t, c in (("part", "p_name"), ("documents", "source"))))
+def top_values_20(spark, d):
+    return _union([top_values(frequencies(read(spark, d, t).select(c))).select("column", "value", "cnt") for t, c in (("part", "p_name"), ("documents", "source"))])
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", regexp_replace(regexp_replace({c}, '[0-9]', '9', 'g'), '[A-Za-zÁÉÍÓÚÑáéíóúñ]', 'A', 'g') AS pattern, ROUND(COUNT(*) / (SELECT COUNT({c}) FROM {t}), 6) AS share FROM {t} GROUP BY 2 ORDER BY share DESC, pattern LIMIT 3)" for t, c in (("part", "p_brand"), ("customer", "c_name"))))
+def dominant_patterns_3(spark, d):
+    return _union([dominant_patterns(frequencies(read(spark, d, t).select(c))).select("column", "pattern", F.round("share", 6).alias("share")) for t, c in (("part", "p_brand"), ("customer", "c_name"))])
+
+
+@query("SELECT event_type AS value, COUNT(*) AS cnt FROM events GROUP BY 1 ORDER BY cnt DESC, value LIMIT 500")
+def value_frequencies(spark, d):
+    return frequencies(read(spark, d, "events").select("event_type")).select("value", "cnt").orderBy(F.desc("cnt"), "value").limit(500)
+
+
+@query("SELECT ROUND(SUM(CASE WHEN regexp_matches(value, '[02468]$') THEN cnt ELSE 0 END) / SUM(cnt), 6) AS share FROM (SELECT source AS value, COUNT(*) AS cnt FROM documents GROUP BY 1 ORDER BY cnt DESC, value LIMIT 20)")
+def weighted_share_top20(spark, d):
+    t = top_values(frequencies(read(spark, d, "documents").select("source")))
+    return t.agg(F.round(F.sum(F.when(F.col("value").rlike("[02468]$"), F.col("cnt")).otherwise(0)) / F.sum("cnt"), 6).alias("share"))
+
+
+@query("SELECT 'customer' AS source, 'c_custkey' AS key, TRUE AS exact UNION ALL SELECT 'documents', 'doc_id', TRUE UNION ALL SELECT 'orders', 'o_orderkey', TRUE UNION ALL SELECT 'conversations', 'conv_id,turn', (SELECT COUNT(DISTINCT (conv_id, turn)) = COUNT(*) FROM conversations)")
+def key_candidates(spark, d):
+    out = []
+    for t in ("customer", "documents", "orders", "conversations"):
+        df = read(spark, d, t)
+        k = keys.find_key(df, profile(t, df, frequencies(df).persist()))
+        out.append((t, ",".join(k["columns"]), k["isExact"]))
+    return spark.createDataFrame(out, "source string, key string, exact boolean")
+
+
+@query("SELECT COUNT(DISTINCT (conv_id, turn)) / COUNT(*) AS conversations, (SELECT ROUND(COUNT(DISTINCT (l_orderkey, l_linenumber)) / COUNT(*), 6) FROM lineitem) AS lineitem FROM conversations")
+def key_composite(spark, d):
+    a = keys.pair_ratios(read(spark, d, "conversations"), [("conv_id", "turn")])[("conv_id", "turn")]
+    b = keys.pair_ratios(read(spark, d, "lineitem"), [("l_orderkey", "l_linenumber")])[("l_orderkey", "l_linenumber")]
+    return spark.createDataFrame([(a, round(b, 6))], "conversations double, lineitem double")
+
+
+@query("SELECT 'n_regionkey -> r_name' AS test, COUNT(DISTINCT n_regionkey) = COUNT(DISTINCT (n_regionkey, coalesce(r_name, ''))) AS holds FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'p_name -> p_brand', COUNT(DISTINCT p_name) = COUNT(DISTINCT (p_name, coalesce(p_brand, ''))) FROM part")
+def fd_test(spark, d):
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    got = bridges.determines(n, [("n_regionkey", "r_name")]) | bridges.determines(read(spark, d, "part"), [("p_name", "p_brand")])
+    return spark.createDataFrame([(f"{a} -> {b}", v) for (a, b), v in got.items()], "test string, holds boolean")
+
+
+_MIRROR = "SELECT l_quantity, l_tax, l_quantity * l_tax + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS total FROM lineitem"
+
+
+@query(f"SELECT COUNT(*) AS checked, SUM(CASE WHEN ABS(l_quantity * l_tax - total) > 0.005 THEN 1 ELSE 0 END)::BIGINT AS broken FROM ({_MIRROR})")
+def mirror_check(spark, d):
+    df = read(spark, d, "lineitem").select("l_quantity", "l_tax", (F.col("l_quantity") * F.col("l_tax") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)).alias("total"))
+    broken, n = quality.mirror_counts(df, [("total", "l_quantity", "l_tax")])[("total", "l_quantity", "l_tax")]
+    return spark.createDataFrame([(n, broken)], "checked long, broken long")
+
+
+@query("SELECT 'note' AS \"column\", SUM(CASE WHEN event_id % 100 = 0 THEN 0 ELSE 1 END)::BIGINT AS affected FROM events HAVING affected >= 0.95 * COUNT(*)")
+def ghost_columns(spark, d):
+    df = read(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 100 == 0, "x").when(F.col("event_id") % 2 == 0, "N/A").alias("note"))
+    found = quality.ghost_columns("events", profile("events", df, frequencies(df)))
+    return spark.createDataFrame([(f["columns"][0]["column"], f["affectedRows"]) for f in found], "column string, affected long")
+
+
+_BASIC = "NULLIF(trim(regexp_replace(lower(strip_accents(v)), '[^a-z0-9]+', ' ', 'g')), '')"
+_DIGITS = "NULLIF(ltrim(regexp_replace(v, '[^0-9]', '', 'g'), '0'), '')"
+_TEXTS = f"(SELECT v FROM {_values(NASTY)} UNION ALL SELECT source FROM documents UNION ALL SELECT p_name FROM part UNION ALL SELECT c_name FROM customer)"
+
+
+@query(f"SELECT v, v AS exact, {_BASIC} AS basic, {_DIGITS} AS digits FROM {_TEXTS}")
+def norm_chains(spark, d):
+    v = _union([nasty(spark), *(read(spark, d, t).select(F.col(c).alias("v")) for t, c in (("documents", "source"), ("part", "p_name"), ("customer", "c_name")))])
+    return v.select("v", *(text.normalise(F.col("v"), k).alias(k) for k in text.CHAINS))
+
+
+def _inclusion_sql(a, b, p, q):
+    return f"SELECT '{a}.{b}' AS child, '{p}.{q}' AS parent, (SELECT COUNT(DISTINCT {b}) FROM {a}) AS na, (SELECT COUNT(DISTINCT {q}) FROM {p}) AS nb, (SELECT COUNT(DISTINCT {b}) FROM {a} WHERE {b} IN (SELECT {q} FROM {p})) AS inter"
+
+
+@query(" UNION ALL ".join(_inclusion_sql(*p) for p in FOREIGN))
+def inclusion_exact(spark, d):
+    return _stats(spark, d, FOREIGN).select("child", "parent", "na", "nb", "inter")
+
+
+@query(f"WITH a AS (SELECT DISTINCT {_DIGITS} AS x FROM (SELECT c_name AS v FROM customer)), b AS (SELECT DISTINCT {_DIGITS} AS x FROM (SELECT o_custkey::VARCHAR AS v FROM orders)) SELECT (SELECT COUNT(x) FROM a) AS na, (SELECT COUNT(x) FROM b) AS nb, (SELECT COUNT(*) FROM a JOIN b USING (x)) AS inter")
+def inclusion_digits(spark, d):
+    return _stats(spark, d, [("customer", "c_name", "orders", "o_custkey")], "digits").select("na", "nb", "inter")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}.{b}' AS child, '{p}.{q}' AS parent, COUNT({b}) AS n_rows, SUM(CASE WHEN {b} IN (SELECT {q} FROM {p}) THEN 1 ELSE 0 END)::BIGINT AS covered FROM {a}" for a, b, p, q in FOREIGN))
+def row_coverage(spark, d):
+    return _stats(spark, d, FOREIGN).select("child", "parent", F.col("rows_a").alias("n_rows"), F.col("covered_a").alias("covered"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def orphans_documents(spark, d):
+    return relationships.orphans(read(spark, d, "documents"), "doc_id", read(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT COUNT(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderdate = l.l_shipdate)")
+def orphans_ship_dates(spark, d):
+    return relationships.orphans(read(spark, d, "lineitem"), "l_shipdate", read(spark, d, "orders"), "o_orderdate").agg(F.count("*").alias("n"))
+
+
+@query()
+def candidate_scores(spark, d):
+    names = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+    freqs = {t: frequencies(read(spark, d, t)).persist() for t in names}
+    found = relationships.discover(_union([f.withColumn("source", F.lit(t)) for t, f in freqs.items()]), {t: profile(t, read(spark, d, t), f) for t, f in freqs.items()})
+    for f in freqs.values():
+        f.unpersist()
+    rows = [(r["leftSourceId"], r["leftColumns"][0], r["rightSourceId"], r["rightColumns"][0], r["normalizations"][0], round(r["score"], 6), r["confidence"], r["classification"], r["cardinality"], round(r["coverage"], 6)) for r in found]
+    return spark.createDataFrame(rows, "child string, child_column string, parent string, parent_column string, chain string, score double, confidence string, classification string, cardinality string, coverage double")
+
+
+@query(" UNION ALL ".join(f"SELECT child, CASE WHEN cover >= 0.98 THEN 'solid' WHEN cover >= 0.75 THEN 'broken_integrity' WHEN cover >= 0.3 THEN 'partial' END AS classification, CASE WHEN cu >= 0.99 AND pu >= 0.99 THEN '1:1' WHEN pu >= 0.99 THEN 'N:1' WHEN cu >= 0.99 THEN '1:N' ELSE 'N:M' END AS cardinality FROM (SELECT '{a}.{b}' AS child, AVG(CASE WHEN {b} IN (SELECT {q} FROM {p}) THEN 1 ELSE 0 END) AS cover, COUNT(DISTINCT {b}) / COUNT({b}) AS cu, (SELECT COUNT(DISTINCT {q}) / COUNT({q}) FROM {p}) AS pu FROM {a})" for a, b, p, q in FOREIGN))
+def classify_and_cardinality(spark, d):
+    s = _stats(spark, d, FOREIGN)
+    cover, cu, pu = F.col("covered_a") / F.col("rows_a"), F.col("na") / F.col("rows_a") >= 0.99, F.col("nb") / F.col("rows_b") >= 0.99
+    kind = F.when(cover >= 0.98, "solid").when(cover >= 0.75, "broken_integrity").when(cover >= 0.3, "partial")
+    return s.select("child", kind.alias("classification"), F.when(cu & pu, "1:1").when(pu, "N:1").when(cu, "1:N").otherwise("N:M").alias("cardinality"))
+
+
+JOINED = [("lineitem", "l_shipdate", "orders", "o_orderdate"), ("lineitem", "l_orderkey", "orders", "o_orderkey")]
+
+
+def _fan_sql(a, b, p, q):
+    return f"SELECT '{a}.{b}' AS child, COUNT(r.v)::BIGINT AS any_match, SUM(l.n * r.n)::BIGINT AS inner_rows, (SUM(l.n) FILTER (r.v IS NULL))::BIGINT AS unmatched_left, (SELECT COUNT(*) FROM {p} WHERE {q} NOT IN (SELECT {b} FROM {a} WHERE {b} IS NOT NULL)) AS unmatched_right FROM (SELECT {b} v, COUNT(*) n FROM {a} GROUP BY 1) l LEFT JOIN (SELECT {q} v, COUNT(*) n FROM {p} GROUP BY 1) r ON l.v = r.v"
+
+
+@query(" UNION ALL ".join(f"SELECT child, inner_rows, inner_rows + unmatched_left AS left_rows, inner_rows + unmatched_left + unmatched_right AS full_rows FROM (SELECT child, inner_rows, coalesce(unmatched_left, 0) AS unmatched_left, unmatched_right FROM ({_fan_sql(*p)}))" for p in JOINED))
+def fanout_estimate(spark, d):
+    s = _stats(spark, d, JOINED)
+    left, right = F.col("rows_a") - F.col("covered_a"), F.col("rows_b") - F.col("covered_b")
+    return s.select("child", F.col("joined").alias("inner_rows"), (F.col("joined") + left).alias("left_rows"), (F.col("joined") + left + right).alias("full_rows"))
+
+
+@query("SELECT l.v AS value, l.n AS left_count, r.n AS right_count FROM (SELECT l_orderkey::VARCHAR v, COUNT(*) n FROM lineitem GROUP BY 1) l JOIN (SELECT o_orderkey::VARCHAR v, COUNT(*) n FROM orders GROUP BY 1) r USING (v) ORDER BY l.n * r.n DESC, l.v DESC LIMIT 1")
+def fanout_worst_key(spark, d):
+    return _stats(spark, d, JOINED[1:]).select(F.col("worst.v").alias("value"), F.col("worst.a").alias("left_count"), F.col("worst.b").alias("right_count"))
+
+
+@query("SELECT (SELECT COUNT(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS estimated, (SELECT COUNT(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS actual")
+def estimate_vs_actual(spark, d):
+    actual = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("actual"))
+    return _stats(spark, d, JOINED[1:]).select(F.col("joined").alias("estimated")).crossJoin(actual)
+
+
+@query("SELECT o.*, c.* FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
+def left_join_materialised(spark, d):
+    return joins.left_join(read(spark, d, "orders"), read(spark, d, "customer"), "o_custkey", "c_custkey")
+
+
+@query(f"SELECT v, CASE WHEN regexp_matches(v, '^[=+@]') OR regexp_matches(v, '^-[^0-9.]') THEN chr(39) || v ELSE v END AS safe FROM (SELECT v FROM {_values(NASTY)} UNION ALL SELECT source FROM documents)")
+def csv_sanitised(spark, d):
+    v = nasty(spark).union(read(spark, d, "documents").select("source"))
+    return v.select("v", text.csv_safe(F.col("v")).alias("safe"))
+
+
+@query("SELECT c AS \"column\" FROM (VALUES ('quality'), ('toxic')) t(c) WHERE 1 - (SELECT COUNT(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) / (SELECT COUNT(*) FROM documents) > 0.6")
+def mostly_null_after_join(spark, d):
+    df = read(spark, d, "labels")
+    r = _stats(spark, d, [("documents", "doc_id", "labels", "doc_id")]).first()
+    return spark.createDataFrame([(c,) for c in joins.mostly_null(profile("labels", df, frequencies(df)), "doc_id", r["covered_a"] / r["rows_a"])], "column string")
+
+
+@query("SELECT c_mktsegment, date_trunc('quarter', o_orderdate)::DATE AS quarter, ROUND(SUM(o_totalprice), 2) AS total, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def indicator_metric_dim_quarter(spark, d):
+    out = joins.run_indicator(read(spark, d, "orders"), read(spark, d, "customer"), ("o_custkey", "c_custkey"), "o_totalprice", "c_mktsegment", "o_orderdate")
+    return out.withColumn("total", F.round("total", 2))
+
+
+def _listed(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ", ").alias("kinds"))
+
+
+_LISTED = "(SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS kinds FROM events GROUP BY 1)"
+
+
+@query(f"SELECT ROUND(AVG(CASE WHEN kinds LIKE '%,%' THEN 1.0 ELSE 0.0 END), 6) AS share FROM {_LISTED}")
+def list_share(spark, d):
+    return spark.createDataFrame([(round(bridges.list_share(_listed(spark, d), ["kinds"])["kinds", ","], 6),)], "share double")
+
+
+@query("SELECT DISTINCT user_id, event_type AS item FROM events")
+def list_explode(spark, d):
+    return bridges.explode_list(_listed(spark, d), "user_id", "kinds", ",")
+
+
+@query("SELECT ROUND(AVG(n), 6) AS avg_degree, MAX(n) AS max_degree FROM (SELECT user_id, COUNT(DISTINCT event_type) AS n FROM events GROUP BY 1)")
+def list_degree(spark, d):
+    return bridges.degree(list_explode(spark, d), "user_id").withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL")
+def nm_pairs(spark, d):
+    return bridges.pairs(read(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("SELECT COUNT(*) AS n_rows, COUNT(DISTINCT l_partkey) AS entities, COUNT(*) - COUNT(DISTINCT l_partkey) AS inflated FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+def inflated_count(spark, d):
+    return nm_pairs(spark, d).agg(F.count("*").alias("n_rows"), F.count_distinct("l_partkey").alias("entities")).withColumn("inflated", F.col("n_rows") - F.col("entities"))
+
+
+@query("SELECT NULLIF(trim(regexp_replace(lower(strip_accents(v)), '[^a-z0-9]+', ' ', 'g')), '') AS form, COUNT(DISTINCT v) AS spellings, COUNT(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS v FROM part) GROUP BY 1")
+def near_dup_groups(spark, d):
+    v = read(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("v"))
+    f = frequencies(v)
+    return f.groupBy(text.norm_basic(F.col("value")).alias("form")).agg(F.count("*").alias("spellings"), F.sum("cnt").alias("n"))
+
+
+@query()
+def near_dup_clusters(spark, d):
+    v = read(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("p_name"))
+    f = frequencies(v)
+    found = quality.near_duplicates("part", profile("part", v, f), f)
+    return spark.createDataFrame([(x["title"], x["affectedRows"]) for x in found], "title string, affected long")
+
+
+@query("SELECT 'mixed' AS \"column\", 'mixed_formats' AS risk")
+def date_format_risks(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("mixed"))
+    return spark.createDataFrame([(c.name, c.risks[0]) for c in profile("orders", o, frequencies(o)) if c.risks], "column string, risk string")
+
+
+@query("SELECT v, CASE WHEN length(trim(v)) <= 1 THEN '•••' ELSE left(trim(v), 1) || '•••' || CASE WHEN length(trim(v)) > 8 THEN right(trim(v), 1) ELSE '' END END AS masked FROM (SELECT 'user' || c_custkey || '@mail.example' AS v FROM customer UNION ALL SELECT 'x')")
+def personal_data_mask(spark, d):
+    v = read(spark, d, "customer").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("v")).union(spark.createDataFrame([("x",)], "v string"))
+    return v.select("v", text.mask(F.col("v")).alias("masked"))
+
+
+_EDGES = ", ".join(f"('{a}', '{p}')" for a, _, p, _ in FOREIGN)
+
+
+@query(f"""
+WITH e AS (SELECT * FROM (VALUES {_EDGES}) t(x, y)), u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+two AS (SELECT a.x, b.y FROM u a JOIN u b ON a.y = b.x WHERE a.x <> b.y),
+three AS (SELECT a.x, c.y FROM u a JOIN u b ON a.y = b.x JOIN u c ON b.y = c.x WHERE a.x <> b.y AND a.x <> c.y AND a.y <> c.y)
+SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT * FROM two UNION SELECT * FROM three) r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.x = r.x AND u.y = r.y)""")
+def indirect_routes(spark, d):
+    edges = [{"leftSourceId": a, "rightSourceId": p, "score": 0.9, "confidence": "high", "userDecision": "pending"} for a, _, p, _ in FOREIGN]
+    return spark.createDataFrame([tuple(sorted((r["from"], r["to"]))) for r in joins.routes(edges)], "a string, b string")
+
+
+@query("SELECT LEAST(1000, COUNT(*)) AS n, LEAST(1000, COUNT(*)) AS n_distinct FROM (SELECT DISTINCT * FROM lineitem)")
+def sample_exact_n(spark, d):
+    s = sample_exact(read(spark, d, "lineitem"), 1000)
+    return s.agg(F.count("*").alias("n"), F.count_distinct(F.struct("*")).alias("n_distinct"))
+
 
+@query()
+def analysis_report(spark, d):
+    """The whole diagnosis of the star schema: one row per relationship, finding, key, prediction and bridge."""
+    from tamiz.plans.analysis import analyze
 
-def queries() -> dict:
-    return {}
+    r = analyze(spark, {t: read(spark, d, t) for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")})
+    rows = [(k, x.get("id") or x.get("sourceId"), str(x.get("title") or x.get("classification") or x.get("columns") or x.get("keys"))) for k in ("relationships", "findings", "keys", "joinPredictions", "bridgeProposals") for x in r[k]]
+    return spark.createDataFrame(rows, "part string, id string, says string")
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["entry", "oracle_sql", "queries"]

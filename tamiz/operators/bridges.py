@@ -24,8 +24,8 @@ def list_share(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float
 
 def explode_list(df: DataFrame, key: str, column: str, separator: str) -> DataFrame:
     """Distinct (key, item)."""
-    item = F.trim(F.explode(F.split(df[f"`{column}`"], re.escape(separator))))
-    return df.where(df[f"`{column}`"].isNotNull()).select(df[f"`{key}`"].alias(key), item.alias("item")).where("item <> ''").distinct()
+    cells = df.select(df[f"`{key}`"].alias(key), F.explode(F.split(df[f"`{column}`"], re.escape(separator))).alias("item"))
+    return cells.select(f"`{key}`", F.trim("item").alias("item")).where("item <> ''").distinct()
 
 
 def pairs(df: DataFrame, a: str, b: str) -> DataFrame:
