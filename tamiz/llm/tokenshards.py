@@ -37,7 +37,7 @@ END = 1
 SHARD_TOKENS = 1 << 22
 FRAME = 1 << 19
 MAGIC = b"TZWM\x01\0\0\0"
-KEPT = 400_000
+KEPT = 800_000
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -49,10 +49,15 @@ class Pieces(dict):
     """Encoding, as bytes, of a lower-cased piece."""
 
     def __init__(self, tokenizer, dtype):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # The model sees bytes as characters; printable ASCII stands for itself.
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece)] if piece.isascii() else self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
         self[piece] = out = np.array(ids, self.dtype).tobytes()
         return out
 
@@ -83,7 +88,7 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         head = json.loads(self.tokenizer.to_str())
         # The tables assume this lower-casing, white-space-dropping set-up; any other goes through the library.
-        self.split = head["model"].get("end_of_word_suffix") == "</w>" and '"Lowercase"' in json.dumps(head["normalizer"]) and "'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|" in json.dumps(head["pre_tokenizer"])
+        self.split = head["model"].get("end_of_word_suffix") == "</w>" and '"Lowercase"' in json.dumps(head["normalizer"]) and '"ByteLevel"' in json.dumps(head["pre_tokenizer"]) and "'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|" in json.dumps(head["pre_tokenizer"])
         self.chunks = Chunks(Pieces(self.tokenizer, self.dtype))
 
     def encode(self, text: str | None) -> bytes:
