@@ -154,7 +154,8 @@ def identify(rows: DataFrame) -> DataFrame:
     some = F.col("n") > 0
     lang, posterior = F.when(some, name(F.col("post"))).otherwise(UND), F.when(some, F.round(F.array_max("post"), 6)).otherwise(1.0)
     j = j.select("key", "declared", F.when(some, name(F.col("own"))).otherwise(UND).alias("text_lang"), lang.alias("lang"), posterior.alias("posterior"))
-    return j.withColumn("kept", (F.col("lang") != UND) & (F.col("posterior") >= 0.5))
+    j = j.withColumn("kept", (F.col("lang") != UND) & (F.col("posterior") >= 0.5))
+    return settle(j, f"{root}/found")  # a filter of the caller's would copy the nested expressions above into itself
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
