@@ -9,13 +9,15 @@ similarity t share at least t * |A| shingles, so
 * (light) with one shingle more they have two in common: small sets enumerate the subsets of two, which few other
   sets have.
 
-A set that is at most ``boundary`` large is light.  The boundary is the one with the least total cost: subsets to write
-for the light sets, list entries to scan for the heavy ones (and for the light ones large enough to match a heavy one).
+A set that is at most ``boundary`` large is light.  The boundary is the one with the least total cost, which counts for
+both kinds what is written and what is scanned: a heavy set's entries and the lengths of their lists (also for light sets
+large enough to match a heavy one), a light set's subsets and the lengths of theirs, a subset being at most as frequent as
+its rarer shingle.  Where copies abound that bound is near the truth, and few sets or none are light.
 A shingle that only one set has can match nothing and is never written; a set with too few shared shingles is out.
 
-Sets that share an entry are candidates.  In a list, all are first checked against one of them, a star; components are
-formed of the links found, and only sets of a list that are still in different components are paired, if the parities
-of their hash bins allow the similarity.  Every candidate is checked on the whole sets.  So a group of copies costs its size, not its square, and no link between
+Sets that share an entry are candidates.  Each list has a pivot, and every set is first checked against the pivot
+that most of its lists have; components are formed of the links found, and only sets of a list that are still in different components are
+paired, if the parities of their hash bins allow the similarity.  Every candidate is checked on the whole sets.  So a group of copies costs its size, not its square, and no link between
 components is lost.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer words than a shingle is
@@ -39,8 +41,8 @@ from tamiz.llm.shingles import components, shingle_sets
 WIDTH, PERCENT = 5, 80
 LAST = np.iinfo(np.int64).max
 ROW_BITS = 20
-SURVIVOR = "node long, doc_id long, n long, ranked binary, codes binary, toks binary, light_cost double, heavy_cost double, bits array<long>"
-PAIR_ROUNDS = 2
+SURVIVOR = "node long, doc_id long, n long, ranked binary, toks binary, light_cost double, heavy_cost double, bits array<long>"
+PAIR_ROUNDS = 4
 WORDS = 8
 
 
@@ -161,11 +163,12 @@ def survivors(docs: DataFrame, root: str, width: int, percent: int) -> tuple[Dat
             if room <= 0:
                 continue
             first = shared[np.lexsort((t[shared], c[shared]))][: room + 1]
-            m = len(first)
-            out.append(((block << ROW_BITS) + row, doc, len(t), t[first].tobytes(), c[first].tobytes(), t.tobytes(), m * (m - 1) / 2, float(code_frequency(c[first[:room]]).sum()), parities(t)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 9
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "doc_id", "n", "ranked", "codes", "toks", "light_cost", "heavy_cost", "bits"), cols, kinds, strict=True)})
+            m, f = len(first), code_frequency(c[first])
+            light, heavy = m * (m - 1) / 2 + float((f * np.arange(m - 1, -1, -1)).sum()), min(m, room) + float(f[:room].sum())
+            out.append(((block << ROW_BITS) + row, doc, len(t), t[first].tobytes(), t.tobytes(), light, heavy, parities(t)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "doc_id", "n", "ranked", "toks", "light_cost", "heavy_cost", "bits"), cols, kinds, strict=True)})
 
     counts = B.at_buckets(B.at_blocks(manifest, reps, send_tokens, B.PACKET), count_tokens, n)
     live = settle(B.at_blocks(manifest, counts, rank, SURVIVOR), f"{root}/survivors")
@@ -236,12 +239,12 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id."""
+def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, boundary: float | None = None) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id.  ``boundary`` is chosen by cost if it isn't given."""
     docs = id_and_text(docs)
     root = workspace(docs.sparkSession, "jaccard")
     members, live = survivors(docs, root, width, percent)
-    sigs = entries(live, light_boundary(live, percent), percent)
+    sigs = entries(live, light_boundary(live, percent) if boundary is None else boundary, percent)
     # Only entries that two sets have matter from here on.
     sigs = settle(sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "sig", "left_semi"), f"{root}/entries")
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
@@ -252,10 +255,13 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
             now = settle(now.join(open_, "sig", "left_semi"), f"{root}/open{turn}")
         if turn < PAIR_ROUNDS:
-            # A star in each list: around its smallest node, then around one of the component with the largest label.
-            middle = F.min(F.struct("node", "n", "comp")) if turn == 0 else F.max(F.struct("comp", "n", "node"))
+            # A list's pivot is its first node in an order that differs by turn, so that a node that is unlike most of
+            # the lists it stands in is passed over soon; a set meets the pivot that the most of its lists have.
+            middle = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "comp"))
             star = now.groupBy("sig").agg(middle.alias("p")).select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-            pairs = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            met = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).groupBy("node", "pivot").count()
+            met = met.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+            pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         else:
             # The parities bound the difference of two sets from below, so a pair over the bound needs no check.
             now = settle(now.join(live.select("node", *(F.col("bits")[k].alias(f"b{k}") for k in range(WORDS))), "node"), f"{root}/bits")
