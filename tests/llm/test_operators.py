@@ -83,6 +83,7 @@ def test_jaccard_random(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     assert by_id(jaccard.similar_groups(df), "doc_id", "n_shingles", "component_id") == brute.groups(rows)
+    assert by_id(jaccard.similar_groups(df, boundary=1000.0), "doc_id", "n_shingles", "component_id") == brute.groups(rows)  # all sets light
     assert jaccard.similar_groups(empty(spark)).count() == 0
     got = sorted((r.doc_id or -1, r.n_shingles) for r in jaccard.similar_groups(odd(spark)).collect())
     assert got == [(-1, 1), (1, 0), (2, 0), (3, 1), (4, 2), (5, 1), (5, 1)]
