@@ -42,7 +42,7 @@ WIDTH, PERCENT = 5, 80
 LAST = np.iinfo(np.int64).max
 ROW_BITS = 20
 SURVIVOR = "node long, doc_id long, n long, ranked binary, toks binary, light_cost double, heavy_cost double, bits array<long>"
-PAIR_ROUNDS = 4
+PAIR_ROUNDS = 3
 WORDS = 8
 
 
