@@ -108,6 +108,16 @@ def test_passages(spark):
     assert sorted(zip(lo.tolist(), c.tolist(), hi.tolist(), strict=True)) == [(0, 1, 2), (0, 3, 4)]
 
 
+def test_passages_through_a_done_text(spark):
+    """Variants that are alike only through a text which both pivots match, and which stands between them."""
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghijklm") + rng.choice("nopqrst") + rng.choice("uvwxyz") for _ in range(52)]
+    rows = [(i, " ".join([*base[:k], f"EDIT{i}", *base[k + 1 :]])) for i, k in enumerate(range(5, 47, 5))]
+    rows.insert(5, (50, " ".join(base)))
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()}
+    assert got == {d: 0 for d, _ in rows}
+
+
 def test_lines(spark, docs):
     assert by_id(queries.queries()["op9_line_dedup"](spark, DATA), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute.lines(docs)
 
