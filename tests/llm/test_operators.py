@@ -118,6 +118,22 @@ def test_passages_through_a_done_text(spark):
     assert got == {d: 0 for d, _ in rows}
 
 
+def test_passages_with_inserted_words(spark):
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghijklm") + rng.choice("nopqrst") + rng.choice("uvwxyz") for _ in range(n)]
+    rows = []
+    for n in (80, 60):
+        p = words(n)
+        rows += [(n, " ".join(words(30) + p + words(40))), (n + 1, " ".join(words(60) + p[: n // 2] + words(4) + p[n // 2 :] + words(20)))]
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {80: 80, 81: 80, 60: 60, 61: 60}
+    a = np.arange(200)
+    b = np.concatenate([np.arange(1000, 1030), np.arange(60, 96), np.arange(2000, 2008), np.arange(100, 136), np.arange(3000, 3040)])
+    for x, y, shift, want in ((a, b, 30, (60, 136, 30, 110)), (a, b, 26, (60, 136, 30, 110)), (b, a, -30, (30, 110, 60, 136)), (b, a, -26, (30, 110, 60, 136))):
+        assert passages.shared_runs(x, y, [shift], 46, 80) == [] and passages.joined_runs(x, y, [shift], [], 46, 80) == [want]
+    assert passages.joined_runs(a, np.concatenate([np.arange(60, 96), np.arange(2000, 2030), np.arange(100, 136)]), [60], [], 46, 80) == []
+
+
 def test_lines(spark, docs):
     assert by_id(queries.queries()["op9_line_dedup"](spark, DATA), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute.lines(docs)
 
