@@ -224,14 +224,14 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> Data
                 sa, best, _, _ = search(side, tok)
                 found = np.flatnonzero(best >= side.wide) if len(sa) else np.empty(0, np.int64)
                 low, high = (_place(side, tok, sa, found, side.wide[found], after) for after in (False, True))
-                done: dict[tuple[int, int], np.ndarray] = {}
-                for k, a, b in zip(found.tolist(), low.tolist(), high.tolist(), strict=True):
-                    if (a, b) not in done:
+                done: dict[tuple[int, int, int], np.ndarray] = {}  # a short item may have the places of a longer one that it begins
+                for k, a, b, wide in zip(found.tolist(), low.tolist(), high.tolist(), side.wide[found].tolist(), strict=True):
+                    if (a, b, wide) not in done:
                         np.add.at(hit, sa[a:b], 1)
-                        np.add.at(hit, sa[a:b] + side.wide[k], -1)
-                        done[a, b] = np.unique(shard.doc[sa[a:b]])
+                        np.add.at(hit, sa[a:b] + wide, -1)
+                        done[a, b, wide] = np.unique(shard.doc[sa[a:b]])
                     if (item := side.of[k][0]) is not None:
-                        for d in done[a, b].tolist():
+                        for d in done[a, b, wide].tolist():
                             items.setdefault(d, set()).add(item)
             inside = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
             n_hit = inside[shard.start[1:] - 1] - inside[shard.start[:-1]]

@@ -51,6 +51,14 @@ def test_decontamination_cases(spark, monkeypatch):
     assert m[-1].n_words == 11 and m[-1].item_id == "5"
 
 
+def test_decontamination_short_item_begins_longer(spark):
+    bench = [("1", "a b c"), ("2", "a b c d e f g h i j")]
+    rows = [(1, "x a b c d e f g h i j y")]
+    b, d = spark.createDataFrame(bench, "item_id string, text string"), spark.createDataFrame(rows, DOCS)
+    got = by_id(decontaminate.contamination(d, b).drop("items"), "*")
+    assert got == brute.contamination(rows, bench) and got[1][1] == 10
+
+
 def test_suffixes(spark, docs):
     got = by_id(queries.queries()["op5_suffix_dedup"](spark, DATA), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.spans(docs, 400)
