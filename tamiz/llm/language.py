@@ -8,7 +8,8 @@ its prior.  Besides the languages there is ``und``, whose text likelihood is a f
 language.
 
 The trigram models are fitted on a bounded sample of labelled rows, about ``SAMPLE`` per declared language chosen by a
-hash of the id; the ``LANGUAGES`` most declared languages take part.  Everything else uses whole texts of all rows.
+hash of the id.  Every declared language takes part, by its primary subtag (en-us and en_gb are en); models are fitted,
+kept as files and scored in blocks of ``LANGUAGES``.  Everything else uses whole texts of all rows.
 
 A row is kept if its language is known and its posterior is at least one half.  Defined cases: a text without letters
 (null, empty) is ``und`` and rejected; null declared language, suffix or host give no evidence of that kind; a null id or
@@ -18,13 +19,14 @@ a repeated row is judged like any other; where no row declares a language all ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.shared import settle, workspace
+from tamiz.llm.shared import get_bytes, put_bytes, settle, workspace
 
 SAMPLE = 1500
 LANGUAGES = 60
@@ -62,13 +64,30 @@ def _pieces(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
-def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities of the bins) from a bounded sample of (key, text, declared)."""
-    counts = rows.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
-    names = sorted(r["declared"] for r in counts)
-    if not names:
-        return [], np.zeros((0, BINS), np.float32)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["declared"], min(1.0, SAMPLE / r["count"]))))
+def primary(declared: Column) -> Column:
+    """The language without its region or script."""
+    return F.coalesce(F.nullif(F.regexp_extract(declared, "^[^-_]+", 0), F.lit("")), declared)
+
+
+def fit(rows: DataFrame, root: str) -> tuple[list[str], list[str]]:
+    """(languages, files of the log-probabilities of their bins) from a bounded sample of (key, text, declared)."""
+    rows = rows.withColumn("declared", primary(F.col("declared")))
+    counts = {r["declared"]: r["count"] for r in rows.where("declared IS NOT NULL").groupBy("declared").count().collect()}
+    names, files = sorted(counts), []
+    for k in range(0, len(names), LANGUAGES):
+        part = names[k : k + LANGUAGES]
+        files.append(f"{root}/model/{k}")
+        put_bytes(files[-1], _fit(rows, part, [counts[x] for x in part]).tobytes())
+    return names, files
+
+
+@lru_cache(1)
+def _model(path: str) -> np.ndarray:
+    return np.frombuffer(get_bytes(path), np.float32).reshape(-1, BINS)
+
+
+def _fit(rows: DataFrame, names: list[str], counts: list[int]) -> np.ndarray:
+    share = F.create_map(*(F.lit(x) for name, n in zip(names, counts, strict=True) for x in (name, min(1.0, SAMPLE / n))))
     chance = F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) / (1 << 30)
     picked = rows.where(F.col("declared").isin(names)).where(chance < F.element_at(share, F.col("declared"))).select("declared", "text")
 
@@ -86,26 +105,27 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
     total = sum((np.frombuffer(r["data"], np.int64).reshape(-1, BINS) for r in picked.coalesce(4).mapInArrow(count, "data binary").collect()), np.zeros((len(names), BINS), np.int64))
     p = (total + 0.2) / (total + 0.2).sum(axis=1, keepdims=True)
-    return names, np.log(p).astype(np.float32)
+    return np.log(p).astype(np.float32)
 
 
-def text_scores(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+def text_scores(rows: DataFrame, files: list[str]) -> DataFrame:
     """Adds n (trigrams) and score, the weighed log-likelihood of each language, ``und`` last."""
-    held = rows.sparkSession.sparkContext.broadcast(table)  # LANGUAGES * BINS numbers at most
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
         for rows in batches:
-            ns, scores = [], []
-            for part in _pieces([t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]):
-                code, owner = trigram_bins(part)
-                n = np.bincount(owner, minlength=len(part))
-                each = [np.bincount(owner, t[code], minlength=len(part)) for t in table] + [n * -np.log(BINS / 4)]
-                weight = TEXT_WEIGHT / (n + TEXT_WEIGHT)
-                ns.append(n)
-                scores.append(np.stack(each, 1) * weight[:, None])
-            n, score = np.concatenate(ns) if ns else np.zeros(0, np.int64), np.concatenate(scores) if scores else np.zeros((0, len(table) + 1))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (len(table) + 1), pa.int32()), pa.array(score.ravel()))
+            parts = list(_pieces([t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]))
+            n = np.zeros(0, np.int64)
+            blocks = []
+            for file in [*files, None]:
+                table, each = None if file is None else _model(file), []
+                for part in parts:
+                    code, owner = trigram_bins(part)
+                    m = np.bincount(owner, minlength=len(part))
+                    each.append(np.stack([m * -np.log(BINS / 4)] if table is None else [np.bincount(owner, t[code], minlength=len(part)) for t in table], 1) * (TEXT_WEIGHT / (m + TEXT_WEIGHT))[:, None])
+                    if table is None:
+                        n = np.concatenate([n, m])
+                blocks.append(np.concatenate(each) if each else np.zeros((0, 1 if table is None else len(table))))
+            score = np.concatenate(blocks, 1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * score.shape[1], pa.int32()), pa.array(score.ravel()))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("key", "declared", "host", "suffix")), pa.array(n, pa.int64()), flat], ["key", "declared", "host", "suffix", "n", "score"])
 
     return rows.select("key", "declared", "host", "suffix", "text").mapInArrow(run, "key long, declared string, host string, suffix string, n long, score array<double>")
@@ -121,10 +141,10 @@ def identify(rows: DataFrame) -> DataFrame:
     """Of rows (key, text, declared, host, suffix): key, declared, text_lang, lang, posterior, kept."""
     spark = rows.sparkSession
     root = workspace(spark, "language")
-    names, table = fit(rows)
+    names, files = fit(rows, root)
     labels = [*names, UND]
     k = len(labels)
-    scored = settle(text_scores(rows, names, table), f"{root}/scores")
+    scored = settle(text_scores(rows, files), f"{root}/scores")
     # The text's own posterior under equal priors, und apart.
     flat = [float(np.log((1 - UND_SHARE) / max(1, k - 1)))] * (k - 1) + [float(np.log(UND_SHARE))]
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)

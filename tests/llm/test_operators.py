@@ -262,6 +262,17 @@ def test_language_held_out_and_unknown(spark):
     assert language.identify(language.document_rows(empty(spark))).count() == 0
 
 
+def test_language_many_declared(spark):
+    """More languages than a block of models holds, two rows declared with a region."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(language.LANGUAGES + 5):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(10 * k + i, " ".join(rng.choice(vocabulary) for _ in range(60)), f"l{k:02d}" + ("-us" if k == 0 and i == 0 else ""), None) for i in range(6 if k < language.LANGUAGES else 4)]
+    got = by_id(language.identify(language.document_rows(spark.createDataFrame(rows, DOCS + ", lang string, source string"))), "key", "lang", "kept")
+    assert got == {r[0]: (r[2][:3], True) for r in rows}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
