@@ -6,7 +6,7 @@ rounds that the target holds:
 
 * whole rounds: ``target // source_size`` copies of every document;
 * the remaining budget is first met in proportion, with whole documents of every size, then by the largest
-  sizes that fit while it is over ``DP_WORDS``, and at last by a bounded-knapsack dynamic programme over the
+  sizes that fit while it is over ``DP_WORDS``, and at last (if only larger documents are left, by the nearest of them) by a bounded-knapsack dynamic programme over the
   sizes still there, which finds the sum nearest to what is left (every sum up to twice ``DP_WORDS`` is
   weighed, so the end may lie a little above or below the target).
 
@@ -106,12 +106,20 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
             if more > 0:
                 taken[k] += more
                 left -= more * int(sizes[k])
-    if left > 0:
-        spare = counts - taken
+    spare = counts - taken
+    if left > DP_WORDS:
+        # All sizes still there are over left - DP_WORDS / 2, so any two are more than left: none, one, or the two smallest.
+        able = np.flatnonzero((sizes > 0) & (spare > 0))
+        able = able[np.argsort(sizes[able], kind="stable")].tolist()
+        two = [k for k in able[:2] for _ in range(min(2, int(spare[k])))][:2]
+        best = min([[], *([k] for k in able), two], key=lambda ks: abs(left - sum(int(sizes[k]) for k in ks)))
+        for k in best:
+            taken[k] += 1
+    elif left > 0:
         able = np.flatnonzero((sizes > 0) & (spare > 0) & (sizes <= 2 * left))
         able = able[np.argsort(sizes[able], kind="stable")]
         if len(able):
-            taken[able] += np.array(nearest_subset(sizes[able].tolist(), spare[able].tolist(), min(left, DP_WORDS)), np.int64)
+            taken[able] += np.array(nearest_subset(sizes[able].tolist(), spare[able].tolist(), left), np.int64)
     return taken
 
 

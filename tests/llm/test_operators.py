@@ -183,6 +183,12 @@ def test_mixing_cases(spark):
     assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
 
 
+def test_mixing_long_documents():
+    fit = lambda sizes, counts, budget: mixing.fit_budget(np.array(sizes), np.array(counts), budget).tolist()
+    assert fit([70_000], [1], 50_000) == [1] and fit([33_617, 49_999], [1, 1], 50_000) == [0, 1]
+    assert fit([120_000], [1], 50_000) == [0] and fit([25_100, 90_000], [2, 1], 50_000) == [2, 0]
+
+
 def test_quality_equals_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
