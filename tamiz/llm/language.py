@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.shared import get_bytes, put_bytes, settle, workspace
+from tamiz.llm.shared import column_of, get_bytes, numbered, put_bytes, settle, workspace
 
 SAMPLE = 1500
 LANGUAGES = 60
 BINS = 1 << 16
+PART_BYTES = 1 << 20
 #: Text evidence counts as that of this many trigrams at most, as neighbouring trigrams aren't independent.
 TEXT_WEIGHT = 40.0
 HOST_LEAN, SUFFIX_LEAN, DECLARED_LEAN = 20.0, 50.0, 1.0
@@ -39,29 +40,37 @@ UND, UND_SHARE = "und", 0.01
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def trigram_bins(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and text number of each trigram with a letter in its middle."""
-    parts = [t.translate(TABLE) for t in texts]
-    b = np.frombuffer(b" " + b" ".join([*parts, b""]), np.uint8).astype(np.uint32)
-    sizes = np.array([len(p) + 1 for p in parts], np.int64)
-    if len(b) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
-    inner = b[1:-1] != 32
-    owner = np.repeat(np.arange(len(parts)), sizes)[: len(code)]
-    return code[inner].astype(np.int64), owner[inner]
+def cut_texts(texts: list[bytes], most: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, owner) of parts of about ``most`` bytes; owner is -1 at the edges of a piece, which only serve as neighbours.
 
-
-def _pieces(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
+    A longer text is cut, and each piece sees the byte before and after it, so cutting changes no trigram.
+    """
     held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= most:
-            yield held
-            held, size = [], 0
+
+    def part() -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for _, x in held])
+        owner, ends = np.repeat([k for k, _ in held], sizes), np.cumsum(sizes)
+        owner[ends - 1] = owner[ends - sizes] = -1
+        return np.frombuffer(b"".join(x for _, x in held), np.uint8).astype(np.uint32), owner
+
+    for k, t in enumerate(texts):
+        t = b" " + t.translate(TABLE) + b" "
+        for a in range(1, len(t) - 1, most):
+            held.append((k, t[a - 1 : a + most + 1] if len(t) > most + 2 else t))
+            size += len(held[-1][1])
+            if size >= most:
+                yield part()
+                held, size = [], 0
     if held:
-        yield held
+        yield part()
+
+
+def trigram_bins(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bin and text number of each trigram with a letter in its middle, part by part."""
+    for b, owner in cut_texts(texts):
+        code = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+        inner = (b[1:-1] != 32) & (owner[1:-1] >= 0)
+        yield code[inner].astype(np.int64), owner[1:-1][inner]
 
 
 def primary(declared: Column) -> Column:
@@ -92,43 +101,58 @@ def _fit(rows: DataFrame, names: list[str], counts: list[int]) -> np.ndarray:
     picked = rows.where(F.col("declared").isin(names)).where(chance < F.element_at(share, F.col("declared"))).select("declared", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BINS), np.int64)
+        """Counts of the bins that a partition's share of the sample has, a row per language."""
+        total: dict[str, np.ndarray] = {}
         for rows in batches:
+            label = rows.column("declared").to_pylist()
             texts = [t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]
-            label = np.array([names.index(x) for x in rows.column("declared").to_pylist()], np.int64)
-            at = 0
-            for part in _pieces(texts):
-                code, owner = trigram_bins(part)
-                total += np.bincount(label[at + owner] * BINS + code, minlength=len(names) * BINS).reshape(total.shape)
-                at += len(part)
-        yield pa.RecordBatch.from_pydict({"data": [total.tobytes()]})
-
-    total = sum((np.frombuffer(r["data"], np.int64).reshape(-1, BINS) for r in picked.coalesce(4).mapInArrow(count, "data binary").collect()), np.zeros((len(names), BINS), np.int64))
+            for name in set(label):
+                for code, _ in trigram_bins([t for t, x in zip(texts, label, strict=True) if x == name]):
+                    total[name] = total.get(name, 0) + np.bincount(code, minlength=BINS)
+        for name, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"name": [name], "at": [at.astype(np.int32).tobytes()], "n": [n[at].tobytes()]})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(BINS, np.int64)
+        for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist(), strict=True):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        return pa.table({"name": [t.column("name")[0].as_py()], "data": [total.tobytes()]})
+
+    # The sample is bounded, and so are the rows that meet for a language: one for each partition with a sampled text.
+    parts = picked.mapInArrow(count, "name string, at binary, n binary").groupBy("name").applyInArrow(add, "name string, data binary")
+    got = {r["name"]: np.frombuffer(r["data"], np.int64) for r in parts.collect()}
+    total = np.stack([got.get(name, np.zeros(BINS, np.int64)) for name in names])
     p = (total + 0.2) / (total + 0.2).sum(axis=1, keepdims=True)
     return np.log(p).astype(np.float32)
 
 
 def text_scores(rows: DataFrame, files: list[str]) -> DataFrame:
-    """Adds n (trigrams) and score, the weighed log-likelihood of each language, ``und`` last."""
+    """Replaces text by n (trigrams) and score, the weighed log-likelihood of each language, ``und`` last."""
+    others = [c for c in rows.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            parts = list(_pieces([t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]))
-            n = np.zeros(0, np.int64)
+            texts = [t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]
+            n = np.zeros(len(texts), np.int64)
             blocks = []
-            for file in [*files, None]:
-                table, each = None if file is None else _model(file), []
-                for part in parts:
-                    code, owner = trigram_bins(part)
-                    m = np.bincount(owner, minlength=len(part))
-                    each.append(np.stack([m * -np.log(BINS / 4)] if table is None else [np.bincount(owner, t[code], minlength=len(part)) for t in table], 1) * (TEXT_WEIGHT / (m + TEXT_WEIGHT))[:, None])
-                    if table is None:
-                        n = np.concatenate([n, m])
-                blocks.append(np.concatenate(each) if each else np.zeros((0, 1 if table is None else len(table))))
-            score = np.concatenate(blocks, 1)
+            for turn, file in enumerate(files or [None]):
+                table = [] if file is None else _model(file)
+                sums = np.zeros((len(texts), len(table)))
+                for code, owner in trigram_bins(texts):
+                    if len(owner):
+                        lo, hi = int(owner[0]), int(owner[-1]) + 1
+                        if turn == 0:
+                            n[lo:hi] += np.bincount(owner - lo, minlength=hi - lo)
+                        for j, t in enumerate(table):
+                            sums[lo:hi, j] += np.bincount(owner - lo, t[code], minlength=hi - lo)
+                blocks.append(sums)
+            score = np.concatenate([*blocks, n[:, None] * -np.log(BINS / 4)], 1) * (TEXT_WEIGHT / (n + TEXT_WEIGHT))[:, None]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * score.shape[1], pa.int32()), pa.array(score.ravel()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("key", "declared", "host", "suffix")), pa.array(n, pa.int64()), flat], ["key", "declared", "host", "suffix", "n", "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in others), pa.array(n, pa.int64()), flat], [*others, "n", "score"])
 
-    return rows.select("key", "declared", "host", "suffix", "text").mapInArrow(run, "key long, declared string, host string, suffix string, n long, score array<double>")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*others, "text").mapInArrow(run, schema + ", n long, score array<double>")
 
 
 def softmax(score: Column) -> Column:
@@ -138,8 +162,8 @@ def softmax(score: Column) -> Column:
 
 
 def identify(rows: DataFrame) -> DataFrame:
-    """Of rows (key, text, declared, host, suffix): key, declared, text_lang, lang, posterior, kept."""
-    spark = rows.sparkSession
+    """Of rows (key, text, declared, host, suffix): key, declared, text_lang, lang, posterior, kept, and any other column."""
+    spark, more = rows.sparkSession, [c for c in rows.columns if c not in ("key", "text", "declared", "host", "suffix")]
     root = workspace(spark, "language")
     names, files = fit(rows, root)
     labels = [*names, UND]
@@ -173,15 +197,30 @@ def identify(rows: DataFrame) -> DataFrame:
     name = lambda p: F.element_at(F.array(*map(F.lit, labels)), F.array_position(p, F.array_max(p)).cast("int"))
     some = F.col("n") > 0
     lang, posterior = F.when(some, name(F.col("post"))).otherwise(UND), F.when(some, F.round(F.array_max("post"), 6)).otherwise(1.0)
-    j = j.select("key", "declared", F.when(some, name(F.col("own"))).otherwise(UND).alias("text_lang"), lang.alias("lang"), posterior.alias("posterior"))
+    j = j.select("key", *more, "declared", F.when(some, name(F.col("own"))).otherwise(UND).alias("text_lang"), lang.alias("lang"), posterior.alias("posterior"))
     j = j.withColumn("kept", (F.col("lang") != UND) & (F.col("posterior") >= 0.5))
     return settle(j, f"{root}/found")  # a filter of the caller's would copy the nested expressions above into itself
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
+def document_rows(docs: DataFrame, *more: str) -> DataFrame:
     """Documents declare ``lang``; their source stands for the host, and its last label, if it has one, for the suffix."""
     source = F.lower(F.col("source").cast("string"))
-    return docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"), source.alias("host"), F.nullif(F.regexp_extract(source, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"))
+    return docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"), source.alias("host"), F.nullif(F.regexp_extract(source, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"), *more)
+
+
+def documents_in_known_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, with all their columns; ``lang`` becomes the language found.
+
+    A verdict depends on a row's text, declared language and source only, so it is joined back by the hash of those
+    beside the id: rows that share an id, or have none, keep verdicts of their own, and equal rows stay as many.
+    """
+    d = numbered(docs)
+    text, lang, source = (F.col(column_of(docs, c)).cast("string") for c in ("text", "lang", "source"))
+    hash_ = F.xxhash64(text, lang.isNull(), lang, source.isNull(), source)
+    rows = document_rows(d.select(F.col(column_of(docs, "doc_id")).alias("doc_id"), text.alias("text"), lang.alias("lang"), source.alias("source"), hash_.alias("row")), "row")
+    found = identify(rows).where("kept").select("key", "row", "lang").distinct()
+    j = d.join(found, F.col(column_of(docs, "doc_id")).cast("long").eqNullSafe(F.col("key")) & (hash_ == F.col("row")))
+    return j.select(*(F.col("lang" if n == "lang" else c).alias(n) for c, n in zip(d.columns, docs.columns, strict=True)))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

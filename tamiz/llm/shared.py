@@ -61,19 +61,20 @@ def get_bytes(uri: str) -> pa.Buffer:
         return f.read_buffer()
 
 
-def exists(uri: str) -> bool:
-    fs, path = filesystem(uri)
-    return fs.get_file_info(path).type == pafs.FileType.File
-
-
 def settle(df: DataFrame, uri: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The table with its columns named c0, c1, ..., so that no name of the user's clashes with an operator's."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def column_of(docs: DataFrame, name: str) -> str:
+    """The name of a column in ``numbered(docs)``."""
+    return f"c{docs.columns.index(name)}"
 
 
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
