@@ -18,10 +18,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm.shared import filesystem, get_bytes, put_bytes, settle
+from tamiz.llm.shared import column_of, filesystem, get_bytes, numbered, put_bytes, settle
 
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 1 << 17
+#: A row's number is its block's, then its place in the block in so many bits.
+ROW_BITS = 20
 MOST_TASKS = 4096
 MANIFEST = "block long, path string, batch int, docs long, bytes long"
 PACKET = "bucket long, block long, data binary"
@@ -48,12 +50,13 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, root: str, batch_of: str = "0", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write (doc_id, text) rows as blocks; returns the manifest, one row per block.
+    """Write (doc_id, text) rows, and any other column they carry, as blocks; returns the manifest, one row per block.
 
     ``batch_of`` is a SQL expression over doc_id; a block holds rows of one batch.  Null texts are
     stored as empty.  A text longer than ``block_bytes`` makes a block of its own, and no block has
     more than twice ``BLOCK_ROWS`` rows.
     """
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -83,7 +86,7 @@ def write_blocks(docs: DataFrame, root: str, batch_of: str = "0", block_bytes: i
                     base = sizes[at - 1] if at else 0
                     end = min(max(at + 1, int(np.searchsorted(sizes, base + block_bytes - size, "right"))), at + BLOCK_ROWS)
                     index = pa.array(take[at:end])
-                    parts.append(pa.RecordBatch.from_pydict({"doc_id": ids.take(index), "text": text.take(index)}))
+                    parts.append(pa.RecordBatch.from_pydict({"doc_id": ids.take(index), "text": text.take(index)} | {c: rows.column(c).take(index) for c in more}))
                     held[b] = (size + int(sizes[end - 1] - base), parts)
                     at = end
                     if held[b][0] >= block_bytes * 0.95 or at < len(take) or sum(map(len, parts)) + len(take) >= BLOCK_ROWS:
@@ -91,10 +94,38 @@ def write_blocks(docs: DataFrame, root: str, batch_of: str = "0", block_bytes: i
         for b in list(held):
             yield flush(b)
 
-    tagged = docs.select("doc_id", "text", F.expr(batch_of).cast("int").alias("batch"))
+    tagged = docs.select("doc_id", "text", *more, F.expr(batch_of).cast("int").alias("batch"))
     return settle(tagged.mapInArrow(write, MANIFEST), f"{root}/manifest")
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, c0, c1, ...): what an operator reads, and all columns of the table under numbers, the text once."""
+    d = numbered(docs)
+    text = column_of(docs, "text")
+    once = [c for c in d.columns if c != text or d.schema[c].dataType.simpleString() != "string"]
+    return d.select(F.col(column_of(docs, "doc_id")).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(text).isNull().alias("bare"), *once)
+
+
+def chosen_rows(manifest: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, which was written as blocks of ``whole_rows``, that ``chosen`` (row: block and place) names."""
+    text, schema = column_of(docs, "text"), numbered(docs).schema
+    names = schema.names
+
+    def run(t: pa.Table) -> pa.Table:
+        path = next(x for x in t.column("path").to_pylist() if x is not None)
+        rows = pa.array(np.sort(np.asarray(t.column("row").drop_null())) & ((1 << ROW_BITS) - 1))
+        block = pa.ipc.open_stream(get_bytes(path)).read_all().take(rows)
+        if text not in block.column_names:
+            back = pa.compute.if_else(block.column("bare"), pa.scalar(None, pa.large_binary()), block.column("text"))
+            block = block.append_column(text, back.cast(pa.string()))
+        return block.select(names)
+
+    head = manifest.select("block", F.lit(None).cast("long").alias("row"), "path")
+    named = chosen.select(F.shiftright("row", ROW_BITS).alias("block"), "row", F.lit(None).cast("string").alias("path"))
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return head.unionByName(named).repartition(tasks, "block").groupBy("block").applyInArrow(run, schema).toDF(*docs.columns)
+
+
 def spread(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The blocks dealt out evenly: a task per block, up to a few thousand tasks."""
     n = manifest.count()
@@ -175,16 +206,21 @@ def shared_between(parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def save_state(path: str, name: str, **arrays: np.ndarray) -> None:
-    import io
-
-    f = io.BytesIO()
-    np.savez_compressed(f, **arrays)
-    put_bytes(f"{path}.{name}", f.getvalue())
+    sink = pa.BufferOutputStream()
+    fields = {k: pa.array([v.tobytes()], pa.large_binary()) for k, v in arrays.items()}
+    schema = pa.schema([pa.field(k, pa.large_binary(), metadata={"dtype": arrays[k].dtype.str, "shape": ",".join(map(str, arrays[k].shape))}) for k in fields])
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(pa.RecordBatch.from_arrays(list(fields.values()), schema=schema))
+    put_bytes(f"{path}.{name}", sink.getvalue())
 
 
 def load_state(path: str, name: str) -> dict[str, np.ndarray]:
-    with np.load(pa.BufferReader(get_bytes(f"{path}.{name}"))) as z:
-        return {k: z[k] for k in z.files}
+    t = pa.ipc.open_stream(get_bytes(f"{path}.{name}")).read_all()
+    out = {}
+    for f, c in zip(t.schema, t.columns, strict=True):
+        shape = tuple(int(x) for x in f.metadata[b"shape"].decode().split(","))
+        out[f.name] = np.frombuffer(c[0].as_buffer(), np.dtype(f.metadata[b"dtype"].decode())).reshape(shape)
+    return out
 
 
 def remove(uri: str) -> None:

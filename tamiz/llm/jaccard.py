@@ -9,19 +9,20 @@ similarity t share at least t * |A| shingles, so
 * (light) with one shingle more they have two in common: small sets enumerate the subsets of two, which few other
   sets have.
 
-A set that is at most ``boundary`` large is light.  The boundary is the one with the least total cost, which counts for
-both kinds what is written and what is scanned: a heavy set's entries and the lengths of their lists (also for light sets
-large enough to match a heavy one), a light set's subsets and the lengths of theirs, a subset being at most as frequent as
-its rarer shingle.  Where copies abound that bound is near the truth, and few sets or none are light.
 A shingle that only one set has can match nothing and is never written; a set with too few shared shingles is out.
 
-Sets that share an entry are candidates.  Each list has a pivot, and every set is first checked against the pivot
-that most of its lists have; components are formed of the links found, and only sets of a list that are still in different components are
-paired, if the parities of their hash bins allow the similarity.  Every candidate is checked on the whole sets.  So a group of copies costs its size, not its square, and no link between
-components is lost.
+Only components are asked for, and groups of copies make long lists, so lists are first met by pivots: in each round a
+set is checked against a few members of its lists, those that the most of its lists name, which differ by round; lists
+whose sets are all in one component are done.  So a group costs its size, not its square.  The sets of the lists that are
+left open are then joined in full: sets smaller than the ``boundary`` by their subsets, larger ones by scanning their lists,
+and sets small enough to match larger ones by both.  The boundary is the one with the least total cost: what is written, and
+the pairs that meet, counted as second moments of the two streams of keys with linear sketches of all rows, one a size class.
+Pairs of one component, of sizes too far apart, or whose hash bins' parities rule the similarity out, are left out; every
+other pair is checked on the whole sets, and no link between components is lost.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer words than a shingle is
-one shingle; copies have links without a check; a null doc_id is no smallest id (a component of such rows only has a null
+one shingle; copies have links without a check; equal rows, and rows that share an id, are rows of their own; a very long text
+is a block of its own, whose set is kept whole (8 bytes a shingle); a null doc_id is no smallest id (a component of such rows only has a null
 id); an empty table gives no rows.
 """
 
@@ -36,14 +37,16 @@ from pyspark.sql import functions as F
 
 from tamiz.llm import blocks as B
 from tamiz.llm.shared import id_and_text, settle, workspace
-from tamiz.llm.shingles import components, shingle_sets
+from tamiz.llm.shingles import merged, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 LAST = np.iinfo(np.int64).max
-ROW_BITS = 20
-SURVIVOR = "node long, doc_id long, n long, ranked binary, toks binary, light_cost double, heavy_cost double, bits array<long>"
-PAIR_ROUNDS = 3
+SURVIVOR = "node long, doc_id long, n long, ranked binary, toks binary, bits array<long>"
+#: Pivots that a set meets in each round.
+PIVOTS = (1, 2, 6, 6)
 WORDS = 8
+#: Counters of a sketch; sizes are taken in steps of an eighth of a doubling.
+WIDE = 1024
 
 
 def frequency_code(df: np.ndarray) -> np.ndarray:
@@ -52,11 +55,6 @@ def frequency_code(df: np.ndarray) -> np.ndarray:
     return np.where(df < 2, 0, np.where(df < 128, df, np.minimum(255, 128 + 8 * np.log2(df / 128)))).astype(np.uint8)
 
 
-def code_frequency(code: np.ndarray) -> np.ndarray:
-    c = code.astype(np.float64)
-    return np.where(c < 128, c, 128 * 2 ** ((c - 128) / 8))
-
-
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """128-bit hash of each set."""
     with np.errstate(over="ignore"):
@@ -91,7 +89,7 @@ def same_sets(manifest: DataFrame, spark, root: str, width: int, size: int) -> D
         place[order] = np.cumsum(head) - 1
         B.save_state(path, "sets", place=place, key=k[head], first=order[head], n=np.array([len(s) for s in sets], np.int64))
         k, first = k[head], order[head]
-        rows = np.stack([k[:, 0], k[:, 1], ids[first].astype(np.uint64), (block << ROW_BITS) + first.astype(np.uint64)], 1)
+        rows = np.stack([k[:, 0], k[:, 1], ids[first].astype(np.uint64), (block << B.ROW_BITS) + first.astype(np.uint64)], 1)
         yield B.packets(block, k[:, 0], n, lambda s: rows[s].tobytes())
 
     def answer(bucket: int, sent: list[bytes]) -> list[bytes | None]:
@@ -108,8 +106,8 @@ def same_sets(manifest: DataFrame, spark, root: str, width: int, size: int) -> D
     return B.at_buckets(B.from_blocks(B.spread(spark, manifest), emit), answer, n), n
 
 
-def survivors(docs: DataFrame, root: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members, survivors): each row's node; of each distinct set that may have a partner its ordered shingles."""
+def survivors(docs: DataFrame, root: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, members, survivors): the blocks; each row's node; of each distinct set that may have a partner its ordered shingles."""
     spark = docs.sparkSession
     manifest = B.write_blocks(docs, root)
     size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -129,8 +127,8 @@ def survivors(docs: DataFrame, root: str, width: int, percent: int) -> tuple[Dat
         for k, data in got.items():
             reply[cut[k] : cut[k + 1]] = np.frombuffer(data, np.uint64).reshape(-1, 2)
         node, doc = reply[:, 0].astype(np.int64), reply[:, 1].astype(np.int64)
-        own = np.flatnonzero(node >> ROW_BITS == block)
-        own = own[(node[own] & ((1 << ROW_BITS) - 1)) == s["first"][own]]
+        own = np.flatnonzero(node >> B.ROW_BITS == block)
+        own = own[(node[own] & ((1 << B.ROW_BITS) - 1)) == s["first"][own]]
         rows = s["first"][own]
         B.save_state(path, "nodes", node=np.where(s["place"] >= 0, node[s["place"]], -1) if len(node) else np.full(len(s["place"]), -1), rep=np.where(s["place"] >= 0, doc[s["place"]], LAST) if len(doc) else np.full(len(s["place"]), LAST), rows=rows, docs=doc[own])
         _, keys, count = distinct_tokens(path, rows)
@@ -163,63 +161,112 @@ def survivors(docs: DataFrame, root: str, width: int, percent: int) -> tuple[Dat
             if room <= 0:
                 continue
             first = shared[np.lexsort((t[shared], c[shared]))][: room + 1]
-            m, f = len(first), code_frequency(c[first])
-            light, heavy = m * (m - 1) / 2 + float((f * np.arange(m - 1, -1, -1)).sum()), min(m, room) + float(f[:room].sum())
-            out.append(((block << ROW_BITS) + row, doc, len(t), t[first].tobytes(), t.tobytes(), light, heavy, parities(t)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "doc_id", "n", "ranked", "toks", "light_cost", "heavy_cost", "bits"), cols, kinds, strict=True)})
+            out.append(((block << B.ROW_BITS) + row, doc, len(t), t[first].tobytes(), t.tobytes(), parities(t)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "doc_id", "n", "ranked", "toks", "bits"), cols, kinds, strict=True)})
 
     counts = B.at_buckets(B.at_blocks(manifest, reps, send_tokens, B.PACKET), count_tokens, n)
     live = settle(B.at_blocks(manifest, counts, rank, SURVIVOR), f"{root}/survivors")
 
     def member_rows(block: int, path: str):
         texts, s, sizes = B.Block(path), B.load_state(path, "nodes"), B.load_state(path, "sets")["n"]
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(texts.doc_id, mask=texts.null_id), "n_shingles": sizes, "node": pa.array(s["node"], mask=s["node"] < 0), "rep": pa.array(s["rep"], mask=s["rep"] == LAST)})
+        row = (block << B.ROW_BITS) + np.arange(texts.rows)
+        yield pa.RecordBatch.from_pydict({"row": row, "doc_id": pa.array(texts.doc_id, mask=texts.null_id), "n_shingles": sizes, "node": pa.array(s["node"], mask=s["node"] < 0), "rep": pa.array(s["rep"], mask=s["rep"] == LAST)})
 
-    return B.from_blocks(B.spread(spark, manifest), member_rows, "doc_id long, n_shingles long, node long, rep long"), live
+    return manifest, B.from_blocks(B.spread(spark, manifest), member_rows, "row long, doc_id long, n_shingles long, node long, rep long"), live
 
 
-def light_boundary(live: DataFrame, percent: int) -> float:
-    """Largest light size, by cost; sizes are taken in steps of an eighth of a doubling."""
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    rows = live.groupBy(step.alias("step")).agg(F.sum("light_cost").alias("light"), F.sum("heavy_cost").alias("heavy")).orderBy("step").collect()
-    best, boundary = None, 0.0
-    for b in [0.0, *(2 ** ((r.step + 1) / 8) for r in rows)]:
-        upper = lambda r: 2 ** ((r.step + 1) / 8)
-        cost = sum(r.light for r in rows if upper(r) <= b) + sum(r.heavy for r in rows if upper(r) > b * percent / 100)
-        if best is None or cost < best:
-            best, boundary = cost, b
-    return boundary
-
-
-def entries(live: DataFrame, boundary: float, percent: int) -> DataFrame:
-    """(sig, node, n, light): subsets of two of the light sets, list entries of all that can match a heavy one."""
+def list_entries(live: DataFrame) -> DataFrame:
+    """(sig, node, n): the inverted lists of the sets' leading shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, len(rows), 256):
-                sig, node, size = [], [], []
                 part = rows.slice(at, 256)
-                for k, n, ranked in zip(*(part.column(c).to_pylist() for c in ("node", "n", "ranked")), strict=True):
-                    t = np.frombuffer(ranked, np.uint64)
-                    need = -(-percent * n // 100)
-                    got = []
-                    if n < boundary and need >= 2 and len(t) >= 2:
-                        i, j = np.triu_indices(len(t), 1)
-                        a, b = np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
-                        got.append(B.mix64(a * np.uint64(0x9E3779B97F4A7C15) ^ b))
-                    if n >= boundary * percent / 100:
-                        got.append(t[: max(1, len(t) - 1)] if len(t) else t)
-                    got = np.concatenate(got) if got else t[:0]
-                    sig.append(got.view(np.int64))
-                    node.append(np.full(len(got), k))
-                    size.append(np.full(len(got), n))
-                yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sig), "node": np.concatenate(node), "n": np.concatenate(size)})
+                ranked = [np.frombuffer(x, np.int64) for x in part.column("ranked").to_pylist()]
+                ranked = [t[: max(1, len(t) - 1)] for t in ranked]
+                sizes = [len(t) for t in ranked]
+                yield pa.RecordBatch.from_pydict({"sig": np.concatenate(ranked), "node": np.repeat(np.asarray(part.column("node")), sizes), "n": np.repeat(np.asarray(part.column("n")), sizes)})
 
     return live.select("node", "n", "ranked").mapInArrow(run, "sig long, node long, n long")
 
 
+def _subsets(ranked: bytes) -> np.ndarray:
+    t = np.frombuffer(ranked, np.uint64)
+    i, j = np.triu_indices(len(t), 1)
+    return B.mix64(np.minimum(t[i], t[j]) * np.uint64(0x9E3779B97F4A7C15) ^ np.maximum(t[i], t[j])).view(np.int64)
+
+
+def subset_entries(sets: DataFrame) -> DataFrame:
+    """(sig, node, n, comp): the subsets of two of the sets' leading shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for node, n, comp, ranked in zip(*(rows.column(c).to_pylist() for c in ("node", "n", "comp", "ranked")), strict=True):
+                sig = _subsets(ranked)
+                yield pa.RecordBatch.from_pydict({"sig": sig, "node": np.full(len(sig), node), "n": np.full(len(sig), n), "comp": np.full(len(sig), comp)})
+
+    return sets.select("node", "n", "comp", "ranked").mapInArrow(run, "sig long, node long, n long, comp long")
+
+
+def size_class(n):
+    return F.floor(F.log2(n.cast("double")) * 8).cast("int")
+
+
+def sketches(entries: DataFrame, expand: bool = False) -> dict[int, np.ndarray]:
+    """A sketch of the stream of keys of each size class, from (class, sig) rows, or (class, ranked) rows of which the
+    subsets are the keys.  Sketches add up, and the sum of a sketch's squares estimates that of the keys' frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for rows in batches:
+            kind = np.asarray(rows.column("class"))
+            if expand:
+                keys = [_subsets(x) for x in rows.column("ranked").to_pylist()]
+                kind, keys = np.repeat(kind, [len(k) for k in keys]), np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            else:
+                keys = np.asarray(rows.column("sig"))
+            h = B.mix64(keys.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
+            sign = np.where(h >> np.uint64(63), 1, -1)
+            for k in np.unique(kind).tolist():
+                on = kind == k
+                total[k] = total.get(k, 0) + np.bincount((h[on] & np.uint64(WIDE - 1)).astype(np.int64), sign[on], WIDE)
+        if total:
+            yield pa.RecordBatch.from_pydict({"class": pa.array(list(total), pa.int32()), "data": [x.astype(np.int64).tobytes() for x in total.values()]})
+
+    def add(t: pa.Table) -> pa.Table:
+        data = sum(np.frombuffer(x, np.int64) for x in t.column("data").to_pylist())
+        return pa.table({"class": t.column("class").slice(0, 1), "data": [data.tobytes()]})
+
+    # A row for each class and task: a hundred classes hold all sizes up to 2^13 words, and eight more each doubling.
+    rows = entries.mapInArrow(run, "class int, data binary").groupBy("class").applyInArrow(add, "class int, data binary").collect()
+    return {r["class"]: np.frombuffer(r["data"], np.int64).astype(np.float64) for r in rows}
+
+
+def light_boundary(lists: DataFrame, sets: DataFrame, percent: int) -> float:
+    """Sets under this size are light: the boundary with the least cost for open lists (sig, n) and sets (n, ranked)."""
+    lists, sets = lists.select(size_class(F.col("n")).alias("class"), "sig"), sets.select(size_class(F.col("n")).alias("class"), "ranked")
+    scan = sketches(lists)
+    m = F.length("ranked") / 8
+    written = {r["class"]: r["w"] for r in sets.groupBy("class").agg(F.sum(m * (m - 1) / 2).alias("w")).collect()}
+    worst, size, classes = float((sum(scan.values()) ** 2).sum()) if scan else 0.0, 0.0, []
+    for k in sorted(written):  # past the size where the subsets alone cost more than all lists, none can be light
+        size += written[k]
+        if size > worst:
+            break
+        classes.append(k)
+    subsets = sketches(sets.where(F.col("class") <= max(classes)), expand=True) if classes else {}
+    moment = lambda some: float((sum(some) ** 2).sum()) if some else 0.0
+    best, boundary = worst, 0.0
+    for k in classes:
+        upto = 2 ** ((k + 1) / 8)
+        cost = sum(written[c] for c in classes if c <= k) + moment([x for c, x in subsets.items() if c <= k]) + moment([x for c, x in scan.items() if 2 ** ((c + 1) / 8) > upto * percent / 100])
+        if cost < best:
+            best, boundary = cost, upto
+    return boundary
+
+
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     sets = live.select("node", "toks")
@@ -239,58 +286,82 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, boundary: float | None = None) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id.  ``boundary`` is chosen by cost if it isn't given."""
-    docs = id_and_text(docs)
+def _met_by_pivots(now: DataFrame, fits, turn: int, most: int) -> DataFrame:
+    """Pairs (a, b) of a set and a pivot of its lists in another component: for each set the ``most`` that most lists name."""
+    middle = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias(f"p{k}") for k in range(most)]
+    star = now.groupBy("sig").agg(*middle).select("sig", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(most))))).alias("p")).select("sig", "p.pivot", "p.pn", "p.pc")
+    met = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).groupBy("node", "pivot").agg(F.count("*").alias("lists"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("lists", "pivot")), False), 1, most)
+    met = met.groupBy("node").agg(best.alias("p")).select("node", F.explode("p.pivot").alias("pivot"))
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
+def _met_in_full(now: DataFrame, live: DataFrame, fits, percent: int, boundary: float | None, root: str) -> DataFrame:
+    """All pairs (a, b) of sets of open lists in different components that may be similar."""
+    sets = settle(now.select("node", "n", "comp").distinct().join(live.select("node", "ranked", "bits"), "node"), f"{root}/sets")
+    edge = light_boundary(now, sets, percent) if boundary is None else boundary
+    # Sets that need one shared shingle only have no second one to share.
+    light = (F.col("n") < edge) & (F.ceil(F.col("n") * percent / 100) >= 2)
+    words = [F.col("bits")[k].alias(f"b{k}") for k in range(WORDS)]
+    near = F.expr(f"{100 + percent} * ({' + '.join(f'bit_count(b{k} ^ p{k})' for k in range(WORDS))}) <= {100 - percent} * (n + pn)")
+    lists = now.where(F.col("n") >= edge * percent / 100).select("sig", "node", "n", "comp").withColumn("light", light)
+    pairs = None
+    for entries in (lists, subset_entries(sets.where(light)).withColumn("light", F.lit(False))):
+        entries = settle(entries.join(entries.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"), "sig", "left_semi").join(sets.select("node", *words), "node"), f"{root}/met{0 if pairs is None else 1}")
+        other = entries.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("light").alias("pl"), *(F.col(f"b{k}").alias(f"p{k}") for k in range(WORDS)))
+        met = entries.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & ~(F.col("light") & F.col("pl")) & fits & near)
+        met = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
+
+
+def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, boundary: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, members, named) of (doc_id, text) rows: the blocks; each row with its node; each node with its component."""
     root = workspace(docs.sparkSession, "jaccard")
-    members, live = survivors(docs, root, width, percent)
-    sigs = entries(live, light_boundary(live, percent) if boundary is None else boundary, percent)
+    manifest, members, live = survivors(docs, root, width, percent)
+    sigs = list_entries(live)
     # Only entries that two sets have matter from here on.
     sigs = settle(sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "sig", "left_semi"), f"{root}/entries")
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    found, tried, label = None, None, None
-    for turn in range(PAIR_ROUNDS + 1):
+    tried, label = None, None
+    for turn, most in enumerate((*PIVOTS, None)):
         now = sigs.withColumn("comp", F.col("node")) if label is None else sigs.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if label is not None:  # lists whose sets are all in one component are done
             open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
             now = settle(now.join(open_, "sig", "left_semi"), f"{root}/open{turn}")
-        if turn < PAIR_ROUNDS:
-            # A list's pivot is its first node in an order that differs by turn, so that a node that is unlike most of
-            # the lists it stands in is passed over soon; a set meets the pivot that the most of its lists have.
-            middle = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "comp"))
-            star = now.groupBy("sig").agg(middle.alias("p")).select("sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-            met = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).groupBy("node", "pivot").count()
-            met = met.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-            pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            # The parities bound the difference of two sets from below, so a pair over the bound needs no check.
-            now = settle(now.join(live.select("node", *(F.col("bits")[k].alias(f"b{k}") for k in range(WORDS))), "node"), f"{root}/bits")
-            other = now.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), *(F.col(f"b{k}").alias(f"p{k}") for k in range(WORDS)))
-            near = F.expr(f"{100 + percent} * ({' + '.join(f'bit_count(b{k} ^ p{k})' for k in range(WORDS))}) <= {100 - percent} * (n + pn)")
-            pairs = now.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & fits & near).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+            if now.isEmpty():
+                break
+        pairs = _met_in_full(now, live, fits, percent, boundary, f"{root}/full") if most is None else _met_by_pivots(now, fits, turn, most)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, f"{root}/pairs{turn}")
         links = settle(verified(pairs, live, percent), f"{root}/links{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if found is None or not links.isEmpty():
-            found = links if found is None else found.unionByName(links)
-            label = components(found, f"{root}/components{turn}")
+        label = merged(label, links, f"{root}/components{turn}")
     smallest = label.join(live.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    named = settle(label.join(smallest, "comp").select("node", F.nullif("least", F.lit(int(LAST))).alias("least")), f"{root}/named")
+    named = settle(label.join(smallest, "comp").select("node", "comp", F.nullif("least", F.lit(int(LAST))).alias("least")), f"{root}/named")
+    return manifest, members, named
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, boundary: float | None = None) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id.  ``boundary`` is chosen by cost if it isn't given."""
+    _, members, named = grouped(id_and_text(docs), width, percent, boundary)
     out = members.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "rep")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of which each group of similar ones keeps that with the smallest doc_id.
+    """The documents, with all their columns, of which each group of similar ones keeps one row.
 
-    Rows with a null doc_id stay unless their group has a row with an id; equal rows count as one.
+    That is the row with the smallest doc_id, the first written of those that share it; a null doc_id comes last.
+    Groups are of rows: a repeated doc_id does not bring the groups of its rows together.
     """
-    kept = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
-    return rows.dropDuplicates()
+    manifest, members, named = grouped(B.whole_rows(docs))
+    group = F.coalesce("comp", "node", "row").alias("g")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = members.join(named.select("node", "comp"), "node", "left").groupBy(group).agg(first.alias("f")).select("f.row")
+    return B.chosen_rows(manifest, kept, docs)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

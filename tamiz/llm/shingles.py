@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +75,41 @@ def shingle_sets(block: B.Block, width: int) -> list[np.ndarray]:
     return [np.unique(h[cut[i] : cut[i + 1]]) for i in range(block.rows)]
 
 
+#: Links that one task joins in memory (16 bytes each); more are joined by all.
+FEW_LINKS = 1 << 18
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that it reaches) over links a - b."""
+    node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = place[: len(a)], place[len(a) :], np.arange(len(node))
+    while True:
+        low = np.minimum(label[x], label[y])
+        was = label.copy()
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        label = label[label]
+        if (label == was).all():
+            return node, node[label]
+
+
 def components(links: DataFrame, root: str) -> DataFrame:
     """(node, comp) for every node of links (a, b): comp is the smallest node that it reaches.
 
     Labels take the smallest label of a neighbour, then that label's own label, until none changes; each
-    round is a written table.
+    round is a written table, unless there are few links.
     """
-    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{root}/edges")
+    links = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{root}/component-links")
+    if links.count() <= FEW_LINKS:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [(np.asarray(r.column("a")), np.asarray(r.column("b"))) for r in batches]
+            if rows:
+                node, comp = joined(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+                yield pa.RecordBatch.from_pydict({"node": node, "comp": comp})
+
+        return settle(links.coalesce(1).mapInArrow(run, "node long, comp long"), f"{root}/round0")
+    edges = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{root}/edges")
     label = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), f"{root}/round0")
     step = 0
     while True:
@@ -90,3 +121,14 @@ def components(links: DataFrame, root: str) -> DataFrame:
         if label.where("was <> comp").isEmpty():
             return label.select("node", "comp")
         label = label.select("node", "comp")
+
+
+def merged(label: DataFrame | None, links: DataFrame, root: str) -> DataFrame:
+    """The components (node, comp) of what was joined before and of new links; only their components are joined again."""
+    if label is None:
+        return components(links, root)
+    of = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"{x}c"))
+    both = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    top = components(both.where("a <> b"), root)
+    old = label.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return settle(old.unionByName(top.join(label, "node", "left_anti").select("node", "comp")), f"{root}/merged")
