@@ -6,13 +6,15 @@ matches no test suffix) and sorted as deep as the longest test suffix goes.  Eve
 searched in it, which gives its longest verbatim match and, for the width of a window, the range of all
 places where the window occurs.  Hit words and items are then read off per document.
 
-The test side is broadcast in blocks: items are cut into overlapping pieces of at most ``PIECE`` words and
-dealt into groups of about ``GROUP_BYTES``, each written as a file in the shared folder, so a benchmark of
-any size is searched block by block in bounded memory.
+The test side is read in blocks: items are cut into overlapping pieces of at most ``PIECE`` words, equal ones count once,
+and are dealt into groups of about ``GROUP_BYTES``, each built by a task and written as a file in the shared folder, so a
+benchmark of any size is built and searched block by block in bounded memory.  A long text is split and coded part by part,
+so a shard costs four bytes a word besides its text.
 
 Defined cases: null text has no words; an item without words has no window; an item under ``width`` words is
 one window; items with the same id count once; a null item_id marks words but is not counted as an item; equal
-rows are treated alike; null doc_id is passed through; without documents there are no rows.
+rows are treated alike; null doc_id is passed through; a text longer than a shard is a shard of its own; without documents
+there are no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.shared import get_bytes, id_and_text, put_bytes, settle, workspace
+from tamiz.llm.shared import column_of, get_bytes, id_and_text, numbered, put_bytes, settle, workspace
 
 WIDTH = 10
 PIECE = 4096
 GROUP_BYTES = 8 << 20
 SHARD_BYTES = 6 << 20
+PART_BYTES = 1 << 20
+BREAK = b"\x00"
 #: ASCII letters lowered, digits kept, other ASCII blank; bytes of longer characters kept.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -59,6 +63,7 @@ class TestSide:
                 left.append(n - k)
                 self.of.append((item, first + k))
             at += n + 1
+        self.ids[BREAK] = -1  # between documents
         self.tok = np.array(flat + [0], np.int32)
         self.suffix, self.wide, self.left = (np.array(x, np.int64) for x in (suffix, wide, left))
         self.least = int(self.wide.min()) if suffix else 0
@@ -81,16 +86,18 @@ def pieces_of(bench: DataFrame, width: int) -> DataFrame:
 
 
 def write_test_side(bench: DataFrame, root: str, width: int) -> list[str]:
-    """Files of the benchmark's groups; the driver holds one group of about GROUP_BYTES at a time."""
-    pieces = settle(pieces_of(bench, width), f"{root}/pieces")
+    """Files of the benchmark's groups, each built by a task from about GROUP_BYTES of pieces."""
+    pieces = settle(pieces_of(bench, width).distinct(), f"{root}/pieces")
     groups = -(-int(pieces.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES)
-    out = []
-    for g in range(groups):
-        rows = pieces.where(F.pmod(F.xxhash64("item_id", "first", "words"), F.lit(groups)) == g).collect()
-        side = TestSide(sorted(((r.item_id, r.first, bytes(r.words).split()) for r in rows), key=lambda r: (r[0] or "", r[1])), width)
-        put_bytes(f"{root}/test/{g}", pickle.dumps(side))
-        out.append(f"{root}/test/{g}")
-    return out
+
+    def build(t: pa.Table) -> pa.Table:
+        rows = zip(t.column("item_id").to_pylist(), t.column("first").to_pylist(), t.column("words").to_pylist(), strict=True)
+        side = TestSide(sorted(((i, a, w.split()) for i, a, w in rows), key=lambda r: (r[0] or "", r[1], r[2])), width)
+        put_bytes(path := f"{root}/test/{t.column('g')[0].as_py()}", pickle.dumps(side))
+        return pa.table({"path": [path]})
+
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("item_id", "first", "words"), F.lit(max(1, groups))))
+    return sorted(r.path for r in dealt.groupBy("g").applyInArrow(build, "path string").collect())
 
 
 @lru_cache(2)
@@ -99,21 +106,30 @@ def load_test_side(path: str) -> TestSide:
 
 
 class Shard:
-    """Documents of one shard as words; 0 stands between documents."""
+    """Documents of one shard as numbered words; 0 stands between documents."""
 
     def __init__(self, doc_ids: list[int | None], texts: list[bytes]):
         self.doc_ids = doc_ids
-        self.words = b" \x00 ".join([*(t.translate(TABLE) for t in texts), b""]).split()
-        breaks = np.flatnonzero(np.fromiter((w == b"\x00" for w in self.words), bool, len(self.words)))
+        self.raw = b" \x00 ".join([*(t.translate(TABLE) for t in texts), b""])
+
+    def coded(self, side: TestSide) -> np.ndarray:
+        """The test side's word numbers; 0 for any other word.  Sets start, doc and n_words of the documents."""
+        get, at, parts = side.ids.get, 0, []
+        while at < len(self.raw):
+            end = self.raw.find(b" ", at + PART_BYTES)
+            end = len(self.raw) if end < 0 else end
+            words = self.raw[at:end].split()
+            parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+            at = end
+        tok = np.concatenate([*parts, np.zeros(1, np.int32)])
+        breaks = np.flatnonzero(tok < 0)
+        tok[breaks] = 0
         self.start = np.concatenate([[0], breaks + 1])
-        self.doc = np.repeat(np.arange(len(doc_ids)), np.diff(self.start))
         self.n_words = np.diff(self.start) - 1
+        return tok
 
-    def coded(self, side: TestSide) -> np.ndarray:
-        """The test side's word numbers; 0 for any other word."""
-        get = side.ids.get
-        tok = np.fromiter((get(w, 0) for w in self.words), np.int32, len(self.words))
-        return np.concatenate([tok, np.zeros(1, np.int32)])
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, at, "right") - 1
 
 
 def suffix_array(tok: np.ndarray, least: int, deepest: int, n_ids: int) -> np.ndarray:
@@ -196,18 +212,46 @@ def search(side: TestSide, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sa, best, where, at
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    ids, texts, size = [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch], doc_id: str = "doc_id", text: str = "text") -> Iterator[tuple[Shard, list[pa.RecordBatch]]]:
+    """Shards, each with the rows that it is made of."""
+    ids, texts, size, held = [], [], 0, []
     for rows in batches:
-        for i, t in zip(rows.column("doc_id").to_pylist(), rows.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+        first = 0
+        for k, (i, t) in enumerate(zip(rows.column(doc_id).to_pylist(), rows.column(text).cast(pa.large_binary()), strict=True)):
             ids.append(i)
-            texts.append(t or b"")
+            texts.append(t.as_py() or b"")
             size += len(texts[-1])
             if size >= SHARD_BYTES:
-                yield Shard(ids, texts)
-                ids, texts, size = [], [], 0
+                yield Shard(ids, texts), [*held, rows.slice(first, k + 1 - first)]
+                ids, texts, size, held, first = [], [], 0, [], k + 1
+        if first < len(rows):
+            held.append(rows.slice(first))
     if ids:
-        yield Shard(ids, texts)
+        yield Shard(ids, texts), held
+
+
+def hits(shard: Shard, files: list[str]) -> tuple[np.ndarray, list[list[str]]]:
+    """(hit words, items) of each document of a shard."""
+    no_items = TestSide([], 1)
+    tok, found_items = shard.coded(load_test_side(files[0]) if files else no_items), [set() for _ in shard.doc_ids]
+    hit = np.zeros(len(tok) + 1, np.int32)
+    for file in files:
+        side = load_test_side(file)
+        tok = tok if file == files[0] else shard.coded(side)
+        sa, best, _, _ = search(side, tok)
+        found = np.flatnonzero(best >= side.wide) if len(sa) else np.empty(0, np.int64)
+        low, high = (_place(side, tok, sa, found, side.wide[found], after) for after in (False, True))
+        done: dict[tuple[int, int, int], np.ndarray] = {}  # a short item may have the places of a longer one that it begins
+        for k, a, b, wide in zip(found.tolist(), low.tolist(), high.tolist(), side.wide[found].tolist(), strict=True):
+            if (a, b, wide) not in done:
+                np.add.at(hit, sa[a:b], 1)
+                np.add.at(hit, sa[a:b] + wide, -1)
+                done[a, b, wide] = np.unique(shard.doc_of(sa[a:b]))
+            if (item := side.of[k][0]) is not None:
+                for d in done[a, b, wide].tolist():
+                    found_items[d].add(item)
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+    return inside[shard.start[1:] - 1] - inside[shard.start[:-1]], [sorted(x) for x in found_items]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -215,27 +259,8 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> Data
     files = write_test_side(bench, workspace(docs.sparkSession, "decontaminate"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            hit = np.zeros(len(shard.words) + 1, np.int32)
-            items: dict[int, set[str]] = {}
-            for file in files:
-                side = load_test_side(file)
-                tok = shard.coded(side)
-                sa, best, _, _ = search(side, tok)
-                found = np.flatnonzero(best >= side.wide) if len(sa) else np.empty(0, np.int64)
-                low, high = (_place(side, tok, sa, found, side.wide[found], after) for after in (False, True))
-                done: dict[tuple[int, int, int], np.ndarray] = {}  # a short item may have the places of a longer one that it begins
-                for k, a, b, wide in zip(found.tolist(), low.tolist(), high.tolist(), side.wide[found].tolist(), strict=True):
-                    if (a, b, wide) not in done:
-                        np.add.at(hit, sa[a:b], 1)
-                        np.add.at(hit, sa[a:b] + wide, -1)
-                        done[a, b, wide] = np.unique(shard.doc[sa[a:b]])
-                    if (item := side.of[k][0]) is not None:
-                        for d in done[a, b, wide].tolist():
-                            items.setdefault(d, set()).add(item)
-            inside = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-            n_hit = inside[shard.start[1:] - 1] - inside[shard.start[:-1]]
-            lists = [sorted(items.get(d, ())) for d in range(len(shard.doc_ids))]
+        for shard, _ in _shards(batches):
+            n_hit, lists = hits(shard, files)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(shard.doc_ids, pa.int64()), "n_words": shard.n_words, "n_hit": n_hit, "n_items": [len(x) for x in lists], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists],
                 "contaminated": n_hit > 0, "items": pa.array(lists, pa.list_(pa.string())),
@@ -249,12 +274,12 @@ def longest_matches(docs: DataFrame, bench: DataFrame, least: int = WIDTH) -> Da
     files = write_test_side(bench, workspace(docs.sparkSession, "decontaminate"), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
+        for shard, _ in _shards(batches):
             for file in files:
                 side = load_test_side(file)
                 _, best, where, _ = search(side, shard.coded(side))
                 k = np.flatnonzero((best >= side.wide) & (side.wide > 0))
-                d = shard.doc[where[k]]
+                d = shard.doc_of(where[k])
                 yield pa.RecordBatch.from_pydict({
                     "item_id": pa.array([side.of[x][0] for x in k.tolist()], pa.string()), "item_word": pa.array([side.of[x][1] for x in k.tolist()], pa.int64()), "n_words": best[k],
                     "doc_id": pa.array([shard.doc_ids[x] for x in d.tolist()], pa.int64()), "doc_word": where[k] - shard.start[d],
@@ -264,13 +289,18 @@ def longest_matches(docs: DataFrame, bench: DataFrame, least: int = WIDTH) -> Da
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents, with all their columns, that hold no window of the benchmark.
+    """The documents, with all their columns, that hold no window of the benchmark; every row is judged by itself."""
+    files, d = write_test_side(bench, workspace(docs.sparkSession, "decontaminate"), width), numbered(docs)
+    key, text = column_of(docs, "doc_id"), column_of(docs, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _shards(batches, key, text):
+            clean, at = hits(shard, files)[0] == 0, 0
+            for part in rows:
+                yield part.filter(pa.array(clean[at : at + len(part)]))
+                at += len(part)
 
-    Verdicts of contaminated rows only are gathered by doc_id; rows with a null doc_id are judged by the
-    rows that share their null (all go if one is contaminated).
-    """
-    bad = contamination(docs, bench, width).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return d.mapInArrow(run, d.schema).toDF(*docs.columns)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
