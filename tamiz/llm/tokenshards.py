@@ -1,18 +1,20 @@
 """Token ids in binary shards, each a wavelet matrix in one compressed file.
 
-Texts are dealt by ranges of doc_id and sorted, tokenised and written, in order, as shards of at most
-``SHARD_TOKENS`` ids.  A shard holds its ids as a wavelet matrix: one bit plane per bit of the largest id, each
-plane in Zstandard frames of ``FRAME`` bits with a directory of ranks, so that a single id, the count of an id, or
-its k-th place is found by reading a few frames per plane.
+Texts are dealt by ranges of doc_id and sorted, tokenised and written, in order, as shards of ``SHARD_TOKENS`` ids and
+what the last document has beyond that; no document is cut.  A shard holds its ids as a wavelet matrix: one bit plane per
+bit of the largest id, each plane in Zstandard frames of ``FRAME`` bits with a directory of ranks, so that a single id, the
+count of an id, or its k-th place is found by reading a few frames per plane.
 
 Shard file, little-endian: 8 bytes magic, a 4-byte length and a JSON head (n, bits, docs, dtype sizes, and for every
 section its offset, length and frame table); sections: document ids, null flags, document ends, then the planes.
 
-Words repeat, so encodings are kept, in a bounded table per worker, by white-space chunk and by lower-cased piece.
+Words repeat, so encodings are kept, in bounded tables per worker, by white-space chunk and by lower-cased piece; a long
+text is encoded part by part.
 Chunks with characters outside ASCII and Latin letters, or with a special token's string, go whole through the library.
 
 Defined cases: null text has only the end id; rows with equal doc_id stand in the order of a hash of their texts;
-null doc_ids come first; an empty table gives no shard and no rows.
+null doc_ids come first; a very long text makes a long shard (two bytes an id, about three times that while its planes
+are built); an empty table gives no shard and no rows.
 """
 
 from __future__ import annotations
@@ -37,44 +39,61 @@ END = 1
 SHARD_TOKENS = 1 << 22
 FRAME = 1 << 19
 MAGIC = b"TZWM\x01\0\0\0"
-KEPT = 800_000
+#: Entries of a table of encodings, of which a worker has two, each in an old and a new half: 100 to 200 MB in all.
+KEPT = 200_000
+PART_CHARS = 1 << 18
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 CHUNK = re.compile(r"[^ \t\n\r]+")
+BLANK = re.compile(r"[ \t\n\r]")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
-class Pieces(dict):
-    """Encoding, as bytes, of a lower-cased piece."""
+class Table(dict):
+    """Encodings, as bytes, of the last strings asked for: KEPT at least and twice as many at most."""
+
+    def __init__(self):
+        self.old = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        if len(self) >= KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class Pieces(Table):
+    """Encoding of a lower-cased piece."""
 
     def __init__(self, tokenizer, dtype):
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         # The model sees bytes as characters; printable ASCII stands for itself.
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
-        self[piece] = out = np.array(ids, self.dtype).tobytes()
-        return out
+        return np.array(ids, self.dtype).tobytes()
 
 
-class Chunks(dict):
-    """Encoding, as bytes, of a chunk without white space."""
+class Chunks(Table):
+    """Encoding of a chunk without white space."""
 
     def __init__(self, pieces: Pieces):
+        super().__init__()
         self.pieces = pieces
 
-    def __missing__(self, chunk: str) -> bytes:
+    def make(self, chunk: str) -> bytes:
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            out = b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk.lower())))
-        else:
-            out = np.array(self.pieces.tokenizer.encode(chunk, add_special_tokens=False).ids, self.pieces.dtype).tobytes()
-        self[chunk] = out
-        return out
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk.lower())))
+        return np.array(self.pieces.tokenizer.encode(chunk, add_special_tokens=False).ids, self.pieces.dtype).tobytes()
 
 
 class TextEncoder:
@@ -96,11 +115,17 @@ class TextEncoder:
             return b""
         if not self.split:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self.chunks) > KEPT:
-            self.chunks.clear()
-        if len(self.chunks.pieces) > KEPT:
-            self.chunks.pieces.clear()
-        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
+        return b"".join(b"".join(map(self.chunks.__getitem__, CHUNK.findall(x))) for x in parts_of(text))
+
+
+def parts_of(text: str, most: int = PART_CHARS) -> Iterator[str]:
+    """The text in parts of about so many characters, cut before a blank; a chunk longer than that stays whole."""
+    at = 0
+    while at < len(text):
+        cut = BLANK.search(text, at + most) if len(text) > at + most else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(1)
@@ -128,7 +153,7 @@ def write_shard(uri: str, doc_ids: list[int | None], ends: np.ndarray, ids: np.n
     head["bits"] = bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     head["zeros"], head["ranks"], head["planes"] = [], [], []
     for b in range(bits - 1, -1, -1):
-        bit = (ids >> ids.dtype.type(b)) & ids.dtype.type(1) != 0
+        bit = ids & ids.dtype.type(1 << b) != 0
         head["zeros"].append(len(ids) - int(np.count_nonzero(bit)))
         head["ranks"].append(np.cumsum([0, *(int(np.count_nonzero(bit[k : k + FRAME])) for k in range(0, len(ids), FRAME))]).tolist())
         head["planes"].append(section(np.packbits(bit, bitorder="little").tobytes(), FRAME // 8))
@@ -248,24 +273,24 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer: str, end: int = EN
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        encode, ids, data, size = encoder(tokenizer), [], [], 0
+        encode, ids, ends, data = encoder(tokenizer), [], [], bytearray()
         stop = np.array([end], encode.dtype).tobytes()
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, data, size, number
+            nonlocal ids, ends, data, number
             path = f"{root}/{part}-{number}.tzwm"
-            lengths = np.array([len(x) for x in data]) // encode.dtype.itemsize
-            write_shard(path, ids, np.cumsum(lengths), np.frombuffer(b"".join(data), encode.dtype))
-            out = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "docs": [len(ids)], "tokens": [int(lengths.sum())]})
-            ids, data, size, number = [], [], 0, number + 1
+            write_shard(path, ids, np.array(ends) // encode.dtype.itemsize, np.frombuffer(data, encode.dtype))
+            out = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "docs": [len(ids)], "tokens": [ends[-1] // encode.dtype.itemsize]})
+            ids, ends, data, number = [], [], bytearray(), number + 1
             return out
 
         for rows in batches:
-            for i, t in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+            for i, t in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
                 ids.append(i)
-                data.append(encode.encode(t) + stop)
-                size += len(data[-1]) // encode.dtype.itemsize
-                if size >= SHARD_TOKENS:
+                data += encode.encode(t.as_py())
+                data += stop
+                ends.append(len(data))
+                if len(data) >= SHARD_TOKENS * encode.dtype.itemsize:
                     yield flush()
         if ids:
             yield flush()
