@@ -6,9 +6,11 @@ holds more than one block of text or one bucket of suffixes:
 
 1. Cover samples.  Positions whose offset in their document is in a perfect difference set D modulo v are
    samples.  For any two positions i, j there is d < v such that i + d and j + d are both samples, and
-   those share at least ``least - v + 1`` bytes if the suffixes at i and j share ``least``.  Sorting the
-   samples' prefixes of that length, bucket by bucket, gives their ranks; a suffix without a repeated
-   sample among its first v positions is unique and takes no further part.
+   those share at least ``m - v + 1`` bytes if the suffixes at i and j share m.  Sorting the samples' prefixes of
+   that length for m of three quarters of ``least``, bucket by bucket, gives their ranks; a suffix without a repeated
+   sample among its first v positions is unique and takes no further part.  The samples tied here also tell the
+   shorter repeats: ``longest_tie`` is the longest stretch of a document that they cover, at least what their prefixes
+   are long; no repeat of m bytes or more is without one.  Nothing is removed for it.
 2. Long ties.  Sample suffixes are ranked again at depth ``least + v - 1`` (or to the end of the document).
    Where that prefix repeats, the v suffixes behind the sample are repeated too: long copies are resolved
    by their samples' ranks, however many there are.  One copy of each class stays in as its representative.
@@ -18,7 +20,8 @@ holds more than one block of text or one bucket of suffixes:
 Order inside a bucket is that of 64-bit fingerprints of the prefixes, which have the same ties as the bytes.
 
 Defined cases: null text is empty; matches never cross documents; a document under ``least`` bytes loses
-nothing; equal rows are different documents; null doc_id is passed through; an empty table gives no rows.
+nothing; equal rows are different documents; a very long text is a block of its own (some 30 bytes of memory a byte); null
+doc_id is passed through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from tamiz.llm import blocks as B
 from tamiz.llm.shared import id_and_text, workspace
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_tie long, spans array<struct<start: long, end: long>>"
 
 
 @lru_cache
@@ -91,9 +94,9 @@ class Suffixes:
     """The samples and document ends of one block."""
 
     def __init__(self, path: str, least: int):
-        self.v, cover = difference_cover(max(1, least // 2))
+        self.v, cover = difference_cover(max(1, least // 3))
         self.block, self.least = B.Block(path), least
-        self.prefix, self.deep = least - self.v + 1, least + self.v - 1
+        self.prefix, self.deep = least * 3 // 4 - self.v + 1, least + self.v - 1
         start = self.block.start
         size = np.diff(start)
         turns = -(-size // self.v)  # of the cover, for each text
@@ -110,7 +113,7 @@ class Suffixes:
 
 
 def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_tie and the removed spans."""
     spark, docs = docs.sparkSession, id_and_text(docs)
     root = workspace(spark, "suffixes")
     manifest = B.write_blocks(docs, root)
@@ -123,10 +126,11 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
     def send_samples(block: int, path: str):
         s = Suffixes(path, least)
         keys = np.unique(prints(s.block.data, s.at, s.prefix))
-        yield B.packets(block, keys, n, lambda k: keys[k].astype(np.uint32).tobytes())
+        yield B.packets(block, keys, n, lambda k: keys[k].astype(np.uint32).tobytes() + (keys[k] >> np.uint64(32)).astype(np.uint8).tobytes())
 
     def rank_samples(bucket: int, sent: list[bytes]) -> list[bytes | None]:
-        return reply([np.frombuffer(x, np.uint32) for x in sent])
+        sizes = [len(x) // 5 for x in sent]  # 40 bits beside those that chose the bucket
+        return reply([np.frombuffer(x, np.uint32, m) | np.frombuffer(x, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(32) for x, m in zip(sent, sizes, strict=True)])
 
     def deep_samples(s: Suffixes, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the repeated samples those to rank at depth, with their lengths."""
@@ -177,7 +181,8 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
     def send_suffixes(block: int, path: str, got: dict[int, bytes]) -> pa.Table:
         s = Suffixes(path, least)
         known, left = open_suffixes(s, path, got)
-        B.save_state(path, "known", known=np.packbits(known), left=left)
+        tied = cover_mask(len(s.block.data), s.at[hit := B.load_state(path, "samples")["hit"]], s.at[hit] + s.prefix)
+        B.save_state(path, "known", known=np.packbits(known), left=left, tied=np.packbits(tied))
         keys = np.unique(prints(s.block.data, left, least))
         return pa.Table.from_batches([B.packets(block, keys, n, lambda k: keys[k].tobytes())])
 
@@ -193,19 +198,23 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
         starts = np.flatnonzero(again)
         gone = cover_mask(total, starts, starts + least)
         edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
-        rows = {k: [] for k in ("n_removed", "n_spans", "kept_sha256", "spans")}
+        rows = {k: [] for k in ("n_removed", "n_spans", "kept_sha256", "spans", "longest_tie")}
         rises, falls = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edge = np.diff(np.unpackbits(state["tied"], count=total).view(np.int8), prepend=0, append=0)
+        tie_from, tie_to = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         for i in range(texts.rows):
             a, b = int(texts.start[i]), int(texts.start[i + 1])
             lo, hi = np.searchsorted(falls, a, "right"), np.searchsorted(rises, b, "left")
             spans = [(max(x, a) - a, min(y, b) - a) for x, y in zip(rises[lo:hi].tolist(), falls[lo:hi].tolist(), strict=True)]
+            lo, hi = np.searchsorted(tie_to, a, "right"), np.searchsorted(tie_from, b, "left")
+            rows["longest_tie"].append(int((np.minimum(tie_to[lo:hi], b) - np.maximum(tie_from[lo:hi], a)).max(initial=0)))
             rows["n_removed"].append(sum(y - x for x, y in spans))
             rows["n_spans"].append(len(spans))
             rows["kept_sha256"].append(hashlib.sha256(texts.data[a:b][~gone[a:b]].tobytes() if spans else texts.text(i)).hexdigest())
             rows["spans"].append([{"start": x, "end": y} for x, y in spans])
         return pa.table({
             "doc_id": pa.array(texts.doc_id, mask=texts.null_id), "n_bytes": pa.array(np.diff(texts.start)), "n_removed": pa.array(rows["n_removed"], pa.int64()), "n_spans": pa.array(rows["n_spans"], pa.int64()),
-            "kept_sha256": pa.array(rows["kept_sha256"], pa.string()), "spans": pa.array(rows["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            "kept_sha256": pa.array(rows["kept_sha256"], pa.string()), "longest_tie": pa.array(rows["longest_tie"], pa.int64()), "spans": pa.array(rows["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
     blocks = B.spread(spark, manifest)
