@@ -147,7 +147,6 @@ def test_lines(spark, docs):
 
 
 def test_line_levels(spark):
-    assert lines.levels(0) == [] and lines.levels(5) == [(0, 3), (0, 4), (1, 0)] and lines.levels(9) == [(2, 0)]
     rng = random.Random(2)
     rows = [(i, "\n".join(rng.choice(["a line that repeats ", "Another LINE of text", "ééééé ééééé", "short", ""]) + str(rng.randrange(40)) for _ in range(6))) for i in range(80)]
     df = spark.createDataFrame(rows, DOCS).repartition(4)
@@ -158,6 +157,35 @@ def test_line_levels(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_store_is_opened_again(spark):
+    """Batches added to a store that is opened anew each time; a merge that ran before is run again, and again when late."""
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"some line of text {rng.randrange(60)}" for _ in range(5))) for i in range(60)]
+    root, got = workspace(spark, "store"), {}
+    lines.LineStore(spark, root, 8)
+    for k in range(6):
+        store = lines.LineStore(spark, root)
+        assert store.batches == k
+        folders = lambda: {x.base_name for x in lines.filesystem(root)[0].get_file_info(lines.pafs.FileSelector(f"{root}/runs", allow_not_found=True))}
+        before, there = list(store.runs), folders()
+        got |= by_id(lines.add_batch(store, spark.createDataFrame(rows[10 * k : 10 * k + 10], DOCS)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+        merged = [f for level, f in store.runs if level and (level, f) not in before]
+        if merged:
+            sources = [f for level, f in before if level == 0] + [f"{root}/runs/{x}" for x in folders() - there if x.startswith("0-")]
+            was = [lines.load_run(merged[0], b).tolist() for b in range(8)]
+            for b in range(8):
+                if was[b]:
+                    lines.merge_bucket(sources, merged[0], b)
+            assert [lines.load_run(merged[0], b).tolist() for b in range(8)] == was
+    assert got == brute.lines(rows) and [level for level, _ in store.runs] == [1, 1]
+    store.vacuum()
+    fs, path = lines.filesystem(f"{store.runs[0][1]}")
+    bucket = next(b for b in range(8) if len(lines.load_run(store.runs[0][1], b)))
+    fs.delete_file(f"{path}/{bucket}")
+    with pytest.raises(FileNotFoundError):
+        lines.load_run(store.runs[0][1], bucket)
+
+
 def test_mixing(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()
     got = queries.queries()["op10_source_mix"](spark, DATA).collect()
