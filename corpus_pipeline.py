@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tamiz.llm import decontaminate, jaccard, language, mixing, tokenshards
 from tamiz.llm.queries import shipped
@@ -12,9 +11,7 @@ from tamiz.llm.shared import settle, workspace
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; ``lang`` becomes the language found."""
-    found = language.identify(language.document_rows(docs)).where("kept").select(F.col("key").alias("_k"), F.col("lang").alias("_lang")).distinct()
-    j = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_k")))
-    return j.select(*(F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    return language.documents_in_known_language(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
