@@ -12,8 +12,8 @@ similarity t share at least t * |A| shingles, so
 A shingle that only one set has can match nothing and is never written; a set with too few shared shingles is out.
 
 Only components are asked for, and groups of copies make long lists, so lists are first met by pivots: in each round a
-set is checked against a few members of its lists, those that the most of its lists name, which differ by round; lists
-whose sets are all in one component are done.  So a group costs its size, not its square.  The sets of the lists that are
+set is checked against a few members of its lists, those that most of its lists name or that are nearest to it by the parities
+of their hash bins; the members differ by round, and lists whose sets are all in one component are done.  So a group costs its size, not its square.  The sets of the lists that are
 left open are then joined in full: sets smaller than the ``boundary`` by their subsets, larger ones by scanning their lists,
 and sets small enough to match larger ones by both.  The boundary is the one with the least total cost: what is written, and
 the pairs that meet, counted as second moments of the two streams of keys with linear sketches of all rows, one a size class.
@@ -42,9 +42,10 @@ from tamiz.llm.shingles import merged, shingle_sets
 WIDTH, PERCENT = 5, 80
 LAST = np.iinfo(np.int64).max
 SURVIVOR = "node long, doc_id long, n long, ranked binary, toks binary, bits array<long>"
-#: Pivots that a set meets in each round.
-PIVOTS = (1, 2, 6, 6)
+#: For each round, the pivots that a list names, and those of them that a set meets.
+PIVOTS = ((1, 1), (8, 4))
 WORDS = 8
+EARLIER = 32
 #: Counters of a sketch; sizes are taken in steps of an eighth of a doubling.
 WIDE = 1024
 
@@ -286,12 +287,34 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _met_by_pivots(now: DataFrame, fits, turn: int, most: int) -> DataFrame:
-    """Pairs (a, b) of a set and a pivot of its lists in another component: for each set the ``most`` that most lists name."""
-    middle = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias(f"p{k}") for k in range(most)]
-    star = now.groupBy("sig").agg(*middle).select("sig", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(most))))).alias("p")).select("sig", "p.pivot", "p.pn", "p.pc")
-    met = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).groupBy("node", "pivot").agg(F.count("*").alias("lists"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("lists", "pivot")), False), 1, most)
+def _parted(percent: int) -> tuple:
+    """(bins in which two sets differ in parity, whether these allow the similarity); no more shingles than that can differ."""
+    apart = " + ".join(f"bit_count(b{k} ^ p{k})" for k in range(WORDS))
+    return F.expr(apart), F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (n + pn)")
+
+
+def _bins(live: DataFrame, node: str = "node", name: str = "b") -> DataFrame:
+    return live.select(F.col("node").alias(node), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(WORDS)))
+
+
+def _met_by_pivots(now: DataFrame, live: DataFrame, fits, percent: int, turn: int, named: int, most: int) -> DataFrame:
+    """Pairs (a, b) of a set and a pivot of its lists in another component.
+
+    A list names so many pivots, which differ by turn; a set meets those that are nearest by the parities of their bins, or,
+    where a list names one only, the one that most of its lists name.
+    """
+    # Plain longs, so that the aggregate hashes and need not sort: the hash alone orders, and a node's values go with its hash.
+    order = [F.xxhash64("node", F.lit(turn), F.lit(k)) for k in range(named)]
+    picked = [F.min_by(c, h).alias(f"{c}{k}") for k, h in enumerate(order) for c in ("node", "n", "comp")]
+    each = F.array(*(F.struct(F.col(f"node{k}").alias("pivot"), F.col(f"n{k}").alias("pn"), F.col(f"comp{k}").alias("pc")) for k in range(named)))
+    star = now.groupBy("sig").agg(*picked).select("sig", F.explode(F.array_distinct(each)).alias("p")).select("sig", "p.pivot", "p.pn", "p.pc")
+    if named == 1:
+        met = now.join(star, "sig").where((F.col("comp") != F.col("pc")) & fits).groupBy("node", "pivot").agg((-F.count("*")).alias("far"))
+    else:
+        apart, near = _parted(percent)
+        met = now.join(_bins(live), "node").join(star.join(_bins(live, "pivot", "p"), "pivot"), "sig").where((F.col("comp") != F.col("pc")) & fits & near)
+        met = met.groupBy("node", "pivot").agg(F.min(apart).alias("far"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("far", "pivot"))), 1, most)  # as many as a set's lists name, at most
     met = met.groupBy("node").agg(best.alias("p")).select("node", F.explode("p.pivot").alias("pivot"))
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
@@ -302,14 +325,15 @@ def _met_in_full(now: DataFrame, live: DataFrame, fits, percent: int, boundary:
     edge = light_boundary(now, sets, percent) if boundary is None else boundary
     # Sets that need one shared shingle only have no second one to share.
     light = (F.col("n") < edge) & (F.ceil(F.col("n") * percent / 100) >= 2)
-    words = [F.col("bits")[k].alias(f"b{k}") for k in range(WORDS)]
-    near = F.expr(f"{100 + percent} * ({' + '.join(f'bit_count(b{k} ^ p{k})' for k in range(WORDS))}) <= {100 - percent} * (n + pn)")
     lists = now.where(F.col("n") >= edge * percent / 100).select("sig", "node", "n", "comp").withColumn("light", light)
-    pairs = None
+    near, pairs = _parted(percent)[1], None
     for entries in (lists, subset_entries(sets.where(light)).withColumn("light", F.lit(False))):
-        entries = settle(entries.join(entries.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"), "sig", "left_semi").join(sets.select("node", *words), "node"), f"{root}/met{0 if pairs is None else 1}")
-        other = entries.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("light").alias("pl"), *(F.col(f"b{k}").alias(f"p{k}") for k in range(WORDS)))
-        met = entries.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & ~(F.col("light") & F.col("pl")) & fits & near)
+        # A pair meets in the first entry that both sets have, as far as earlier ones are carried; elsewhere it would only be repeated.
+        every = entries.groupBy("node", "n", "comp", "light").agg(F.sort_array(F.collect_list("sig")).alias("every"))
+        entries = every.select("node", "n", "comp", "light", "every", F.posexplode("every").alias("place", "sig")).withColumn("earlier", F.slice("every", F.lit(1), F.least("place", F.lit(EARLIER)))).drop("every", "place")
+        entries = settle(entries.join(entries.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"), "sig", "left_semi").join(_bins(sets), "node"), f"{root}/met{0 if pairs is None else 1}")
+        other = entries.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("light").alias("pl"), F.col("earlier").alias("pe"), *(F.col(f"b{k}").alias(f"p{k}") for k in range(WORDS)))
+        met = entries.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & ~(F.col("light") & F.col("pl")) & fits & near & ~F.arrays_overlap("earlier", "pe"))
         met = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
     return pairs
@@ -324,14 +348,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, boundar
     sigs = settle(sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "sig", "left_semi"), f"{root}/entries")
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
     tried, label = None, None
-    for turn, most in enumerate((*PIVOTS, None)):
+    for turn, (named, most) in enumerate((*PIVOTS, (0, 0))):
         now = sigs.withColumn("comp", F.col("node")) if label is None else sigs.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if label is not None:  # lists whose sets are all in one component are done
             open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
             now = settle(now.join(open_, "sig", "left_semi"), f"{root}/open{turn}")
             if now.isEmpty():
                 break
-        pairs = _met_in_full(now, live, fits, percent, boundary, f"{root}/full") if most is None else _met_by_pivots(now, fits, turn, most)
+        pairs = _met_by_pivots(now, live, fits, percent, turn, named, most) if named else _met_in_full(now, live, fits, percent, boundary, f"{root}/full")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
