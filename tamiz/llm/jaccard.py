@@ -262,7 +262,9 @@ def light_boundary(lists: DataFrame, sets: DataFrame, percent: int) -> float:
     best, boundary = worst, 0.0
     for k in classes:
         upto = 2 ** ((k + 1) / 8)
-        cost = sum(written[c] for c in classes if c <= k) + moment([x for c, x in subsets.items() if c <= k]) + moment([x for c, x in scan.items() if 2 ** ((c + 1) / 8) > upto * percent / 100])
+        listed = {c: x for c, x in scan.items() if 2 ** ((c + 1) / 8) > upto * percent / 100}  # light ones among them only meet heavy ones
+        scanned = moment(list(listed.values())) - moment([x for c, x in listed.items() if c <= k])
+        cost = sum(written[c] for c in classes if c <= k) + moment([x for c, x in subsets.items() if c <= k]) + scanned
         if cost < best:
             best, boundary = cost, upto
     return boundary
@@ -331,7 +333,7 @@ def _met_in_full(now: DataFrame, live: DataFrame, fits, percent: int, boundary:
         # A pair meets in the first entry that both sets have, as far as earlier ones are carried; elsewhere it would only be repeated.
         every = entries.groupBy("node", "n", "comp", "light").agg(F.sort_array(F.collect_list("sig")).alias("every"))
         entries = every.select("node", "n", "comp", "light", "every", F.posexplode("every").alias("place", "sig")).withColumn("earlier", F.slice("every", F.lit(1), F.least("place", F.lit(EARLIER)))).drop("every", "place")
-        entries = settle(entries.join(entries.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig"), "sig", "left_semi").join(_bins(sets), "node"), f"{root}/met{0 if pairs is None else 1}")
+        entries = settle(entries.join(entries.groupBy("sig").agg(F.count("*").alias("m"), F.min("light").alias("only")).where("m > 1 AND NOT only").select("sig"), "sig", "left_semi").join(_bins(sets), "node"), f"{root}/met{0 if pairs is None else 1}")
         other = entries.select("sig", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("light").alias("pl"), F.col("earlier").alias("pe"), *(F.col(f"b{k}").alias(f"p{k}") for k in range(WORDS)))
         met = entries.join(other, "sig").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & ~(F.col("light") & F.col("pl")) & fits & near & ~F.arrays_overlap("earlier", "pe"))
         met = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tamiz.llm import blocks as B
 from tamiz.llm.shared import settle
 
+PART_BYTES = 1 << 20
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _BASE = 0x9E3779B97F4A7C15
@@ -21,6 +23,11 @@ _COEFFICIENT = B.mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED49
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    return _table(base, 1 << max(n - 1, 0).bit_length())[:n]
+
+
+@lru_cache(4)
+def _table(base: int, n: int) -> np.ndarray:
     out, have = np.ones(max(n, 1), np.uint64), 1
     while have < n:
         step = np.uint64(pow(base, have, 1 << 64))
@@ -30,19 +37,39 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _parts(block: B.Block) -> Iterator[tuple[int, int]]:
+    """The block's bytes in parts of about PART_BYTES, each from a text's start or a blank on, so that no word is cut."""
+    a, n = 0, len(block.data)
+    while a < n:
+        b = min(n, a + PART_BYTES)
+        text = int(block.start[np.searchsorted(block.start, b)])
+        while b < text:
+            blank = np.flatnonzero(SPACE[block.data[b : min(text, b + PART_BYTES)]])
+            if len(blank):
+                b += int(blank[0])
+                break
+            b = min(text, b + PART_BYTES)
+        yield a, b
+        a = b
+
+
 def word_hashes(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, start byte, end byte) of each word, ASCII letters lowered, parted by ASCII white space."""
-    data = LOWER[block.data]
-    n = len(data)
-    blank = SPACE[data]
-    edge = np.zeros(n + 1, bool)
+    hashes, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    edge = np.zeros(len(block.data) + 1, bool)
     edge[block.start] = True  # a text's first byte
-    begins = ~blank & (np.concatenate([[True], blank[:-1]]) | edge[:n]) if n else np.zeros(0, bool)
-    starts = np.flatnonzero(begins)
-    ends = np.flatnonzero(~blank & (np.concatenate([blank[1:], [True]]) | edge[1:])) + 1 if n else starts
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * _powers(_BASE, n)[:n], dtype=np.uint64)])
-    h = (total[ends] - total[starts]) * _powers(_INVERSE, n + 1)[starts]
-    return B.mix64(h ^ (ends - starts).astype(np.uint64)), np.searchsorted(block.start, starts, "right") - 1, starts, ends
+    for a, b in _parts(block):
+        data = LOWER[block.data[a:b]]
+        blank, first = SPACE[data], edge[a : b + 1]
+        start = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]]) | first[:-1]))
+        end = np.flatnonzero(~blank & (np.concatenate([blank[1:], [True]]) | first[1:])) + 1
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
+        h = (total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start]
+        hashes.append(B.mix64(h ^ (end - start).astype(np.uint64)))
+        starts.append(start + a)
+        ends.append(end + a)
+    h, start, end = map(np.concatenate, (hashes, starts, ends))
+    return h, np.searchsorted(block.start, start, "right") - 1, start, end
 
 
 def shingle_hashes(words: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
