@@ -5,8 +5,9 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tamiz.llm import decontaminate, jaccard, language, lines, mixing, passages, quality, queries, suffixes, tokenshards, warc
+from tamiz.llm import decontaminate, jaccard, language, lines, mixing, passages, quality, queries, shingles, suffixes, tokenshards, warc
 from tamiz.llm.shared import workspace
 
 DATA = "/root/testdata/sf0.001"
@@ -91,13 +92,49 @@ def test_jaccard_random(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     assert by_id(jaccard.similar_groups(df), "doc_id", "n_shingles", "component_id") == brute.groups(rows)
-    assert by_id(jaccard.similar_groups(df, boundary=1000.0), "doc_id", "n_shingles", "component_id") == brute.groups(rows)  # all sets light
+    for boundary in (0.0, 12.0, 1000.0):  # all sets heavy, some of them, all light
+        assert by_id(jaccard.similar_groups(df, boundary=boundary), "doc_id", "n_shingles", "component_id") == brute.groups(rows)
     assert jaccard.similar_groups(empty(spark)).count() == 0
     got = sorted((r.doc_id or -1, r.n_shingles) for r in jaccard.similar_groups(odd(spark)).collect())
     assert got == [(-1, 1), (1, 0), (2, 0), (3, 1), (4, 2), (5, 1), (5, 1)]
     assert jaccard.one_of_each_group(odd(spark)).columns == odd(spark).columns
 
 
+def test_jaccard_groups_are_of_rows(spark):
+    """Rows that share an id, or have none, keep groups of their own; columns may have any name, nulls stay nulls."""
+    one, two = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    near = one.replace("w29", "x")
+    rows = [(5, one, None, 1), (9, near, "b", 2), (7, two, "c", 3), (9, two, "d", 4), (None, None, "e", 5), (None, "", "f", 6), (None, one, "g", 7), (5, one, None, 1)]
+    df = spark.createDataFrame(rows, DOCS + ", node string, copies int").withColumnRenamed("copies", "row")
+    got = sorted(tuple(r) for r in jaccard.one_of_each_group(df).collect() if r.text)
+    assert got == [(5, one, None, 1), (7, two, "c", 3)]
+    assert sorted(r.node for r in jaccard.one_of_each_group(df).collect() if not r.text) == ["e", "f"]
+    assert [r.text for r in jaccard.one_of_each_group(df).where("node = 'e'").collect()] == [None]
+
+
+def test_light_boundary_follows_cost(spark):
+    """Small sets with one very common shingle and rare others are cheaper by subsets; copies are cheaper by lists."""
+    pack = lambda x: np.array(x, np.uint64).tobytes()
+    sets = [(10, bytearray(pack([7, 100 + 3 * k, 101 + 3 * k, 102 + 3 * k]))) for k in range(300)]
+    lists = [(10, x) for _, r in sets for x in np.frombuffer(bytes(r), np.int64)[:1].tolist()]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    assert jaccard.light_boundary(df(lists, "n long, sig long"), df(sets, "n long, ranked binary"), 80) > 10
+    same = [(100, bytearray(pack(range(22)))) for _ in range(50)]
+    lists = [(100, x) for _ in same for x in range(21)]
+    assert jaccard.light_boundary(df(lists, "n long, sig long"), df(same, "n long, ranked binary"), 80) == 0
+
+
+def test_components_by_tasks_and_in_one(spark, monkeypatch):
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    df = spark.createDataFrame([x for x in links if x[0] != x[1]], "a long, b long")
+    small = by_id(shingles.components(df, workspace(spark, "c")), "node", "comp")
+    monkeypatch.setattr(shingles, "FEW_LINKS", 0)
+    assert by_id(shingles.components(df, workspace(spark, "c")), "node", "comp") == small
+    first = shingles.components(df.limit(60), workspace(spark, "c"))
+    assert by_id(shingles.merged(first, df, workspace(spark, "c")), "node", "comp") == small
+
+
 def test_passages(spark):
     rng = random.Random(11)
     words = lambda n: [rng.choice("abcdefghijklm") + rng.choice("nopqrst") + rng.choice("uvwxyz") for _ in range(n)]
@@ -116,6 +153,23 @@ def test_passages(spark):
     assert sorted(zip(lo.tolist(), c.tolist(), hi.tolist(), strict=True)) == [(0, 1, 2), (0, 3, 4)]
 
 
+def test_passages_recall(spark):
+    """Planted passages with scattered edits against a search of all alignments of every planted pair."""
+    rng = random.Random(21)
+    words = lambda n: [rng.choice("abcdefghijklm") + rng.choice("nopqrst") + rng.choice("uvwxyz") + rng.choice("aeiou") for _ in range(n)]
+    rows = []
+    for k in range(120):
+        p = words(rng.randrange(55, 120))
+        q = list(p)
+        for _ in range(rng.randrange(4)):
+            q[rng.randrange(len(q))] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words(rng.randrange(40)) + p + words(rng.randrange(60)))), (2 * k + 1, " ".join(words(rng.randrange(60)) + q + words(rng.randrange(40))))]
+    want = brute.alike(rows, [(2 * k, 2 * k + 1) for k in range(120)])
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    found = [a for a, b in want if got.get(a) == got.get(b) == a]
+    assert len(want) > 60 and len(found) >= 0.95 * len(want)
+
+
 def test_passages_through_a_done_text(spark):
     """Variants that are alike only through a text which both pivots match, and which stands between them."""
     rng = random.Random(5)
@@ -211,6 +265,29 @@ def test_mixing_cases(spark):
     assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
 
 
+def test_mixing_ends_at_the_nearest_sum():
+    rng = random.Random(9)
+    for _ in range(60):
+        sizes = sorted({rng.randrange(2, 60) for _ in range(rng.randrange(1, 5))})
+        counts = [rng.randrange(1, 7) for _ in sizes]
+        budget = rng.randrange(0, sum(a * b for a, b in zip(sizes, counts, strict=True)) + 1)
+        sums = {0}
+        for a, b in zip(sizes, counts, strict=True):
+            sums = {x + a * k for x in sums for k in range(b + 1)}
+        got = mixing.fit_budget(np.array(sizes), np.array(counts), budget)
+        assert all(0 <= g <= c for g, c in zip(got.tolist(), counts, strict=True))
+        assert abs(int((got * sizes).sum()) - budget) == min(abs(x - budget) for x in sums)
+    assert mixing.fit_budget(np.array([6, 10]), np.array([100, 100]), 803).dot([6, 10]) in (802, 804)
+
+
+def test_mixing_any_columns(spark):
+    rows = [(4, "q " * 50, "z", k, "s") for k in range(6)] + [(None, "a b", None, 9, "t"), (None, "a b", None, 10, None)]
+    df = spark.createDataFrame(rows, DOCS + ", source string, copies int, _size string").withColumn("row", F.lit(1)).withColumn("taken_row", F.lit(2))
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns and sum(len(r.text.split()) for r in got.collect() if r.source == "z") > 0
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
+
+
 def test_mixing_long_documents():
     fit = lambda sizes, counts, budget: mixing.fit_budget(np.array(sizes), np.array(counts), budget).tolist()
     assert fit([70_000], [1], 50_000) == [1] and fit([33_617, 49_999], [1, 1], 50_000) == [0, 1]
@@ -284,6 +361,70 @@ def test_language(spark):
     assert np.mean([r.lang == r.declared for r in pages if r.declared]) > 0.95
 
 
+def test_language_equals_brute_force(spark):
+    """Every step written out again for a small table: likelihood, leave-one-out priors by host, suffix and declaration, fusion."""
+    rows = [(r.doc_id, r.text, r.lang if r.doc_id % 5 else None, f"h{r.doc_id % 7}.{'xy'[r.doc_id % 2]}") for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 90").collect()] + [(900, "", "en", None), (901, None, None, "h1.y")]
+    df = language.document_rows(spark.createDataFrame(rows, DOCS + ", lang string, source string"))
+    names, files = language.fit(df, workspace(spark, "model"))
+    model = np.concatenate([language._model(f) for f in files])
+    want = brute.languages([tuple(r) for r in df.select("key", "text", "declared", "host", "suffix").collect()], names, model, language)
+    got = {r.key: (r.text_lang, r.lang, r.posterior, r.kept) for r in language.identify(df).collect()}
+    assert got.keys() == want.keys()
+    for k, (text_lang, lang, posterior, kept) in got.items():
+        assert (text_lang, lang, kept) == (want[k][0], want[k][1], want[k][3]) and posterior == pytest.approx(want[k][2], abs=2e-6)
+
+
+def test_language_of_rows(spark):
+    """Rows that share an id get verdicts of their own, whatever other columns are called."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "'x' AS _k", "'y' AS row", "'z' AS key")
+    some = d.where("doc_id < 120").collect()
+    same = spark.createDataFrame([(77 if r.doc_id < 60 else None, *tuple(r)[1:]) for r in some] + [(77, "", "en", "s", "x", "y", "z")], d.schema)
+    got = language.documents_in_known_language(same).collect()
+    text = {r.text: r.lang for r in some}
+    assert got and len(got) <= len(some) and got[0].__fields__ == d.columns and all(text[r.text] == r.lang for r in got if r._k == "x" and r.lang in ("en", "de", "es", "fr") and text[r.text] == r.lang)
+    assert sorted(r.text for r in got) == sorted(t for t in (r.text for r in some) if t in {r.text for r in got}) and not any(r.text == "" for r in got)
+
+
+def test_long_texts(spark):
+    """A text of two megabytes among short ones, in every operator that reads texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    long_ = "\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 15))) for _ in range(35_000))
+    rows = [(1, long_), (2, "short text of a few words"), (3, long_[:5000]), (4, None)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "'en' AS lang", "'s' AS source")
+    bench = [(1, " ".join(long_.split()[200_000:200_014]))]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    assert by_id(decontaminate.contamination(df, b).drop("items"), "*") == brute.contamination(rows, bench)
+    assert [r.doc_id for r in decontaminate.clean_documents(df, b).orderBy("doc_id").collect()] == [2, 3, 4]
+    t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    got = by_id(tokenshards.token_rows(df), "doc_id", "n_tokens", "ids_crc32")
+    for d, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [1]
+        assert got[d] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert by_id(lines.dedup_lines(df), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute.lines(rows)
+    assert by_id(jaccard.similar_groups(df), "doc_id", "n_shingles") == {d: (n,) for d, (n, _) in brute.groups(rows).items()}
+    cut = by_id(suffixes.repeated_spans(df), "doc_id", "n_bytes", "n_removed", "longest_tie")
+    assert cut[1][1] == cut[3][1] == 5000 and cut[3][2] >= 4000 and cut[2] == (25, 0, 0)
+    assert {r["size"] for r in mixing.mixture(df).collect()} == {len(brute.WORD.findall(x or "")) for _, x in rows}
+    assert {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()} == {1: 1, 3: 1}
+    assert {r.key: r.lang for r in language.identify(language.document_rows(df)).collect()}[1] == "en"
+
+
+def test_shorter_repeats_show_as_ties(spark):
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for k in range(40):
+        shared = text(320)
+        rows += [(2 * k, text(rng.randrange(200, 600)) + shared + text(rng.randrange(300))), (2 * k + 1, text(rng.randrange(300)) + shared + text(rng.randrange(500)))]
+    rows += [(100 + k, text(900)) for k in range(40)]
+    got = by_id(suffixes.repeated_spans(spark.createDataFrame(rows, DOCS)), "doc_id", "n_removed", "longest_tie")
+    assert all(got[d][0] == 0 and (got[d][1] > 150) == (d < 100) for d, _ in rows)
+
+
 def test_language_held_out_and_unknown(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     hidden = d.selectExpr("doc_id", "text", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang", "source")
