@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.functions import text
-from tamiz.operators import bridges, joins, keys, quality, relationships
+from tamiz.functions import names, text
+from tamiz.operators import bridges, joins, keys, quality, relationships, scoring
 from tamiz.operators.profile import dominant_patterns, frequencies, profile, top_values
+from tamiz.plans.analysis import analyze, at_once
 from tamiz.sources.jdbc import sample_exact
 
 TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
@@ -103,26 +104,27 @@ def base_stats_timestamp(spark, d):
     return _base(spark, d, "orders")
 
 
+def _profiled(df: DataFrame, name: str = "t") -> dict:
+    """The product's profile of each column of a table."""
+    return {c.name: c for c in profile(name, df, frequencies(df))}
+
+
 @query("SELECT MIN(l_quantity) AS min_quantity, MAX(l_extendedprice) AS max_price, MIN(l_shipdate) AS first_ship, MAX(l_returnflag) AS last_flag FROM lineitem")
 def typed_min_max(spark, d):
-    return read(spark, d, "lineitem").agg(F.min("l_quantity").alias("min_quantity"), F.max("l_extendedprice").alias("max_price"), F.min("l_shipdate").alias("first_ship"), F.max("l_returnflag").alias("last_flag"))
+    c = _profiled(read(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"))
+    return spark.createDataFrame([(c["l_quantity"].low, c["l_extendedprice"].high, c["l_shipdate"].low, c["l_returnflag"].high)], "min_quantity double, max_price double, first_ship timestamp_ntz, last_flag string")
 
 
-@query("SELECT ROUND(AVG(l_quantity), 4) AS mean, ROUND(MEDIAN(l_quantity), 4) AS median, ROUND(QUANTILE_CONT(l_extendedprice, 0.95), 4) AS p95 FROM lineitem")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", ROUND(AVG({c}), 4) AS mean, ROUND(MEDIAN({c}), 4) AS median, ROUND(QUANTILE_CONT({c}, 0.95), 4) AS p95 FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")))
 def mean_median_p95(spark, d):
-    return read(spark, d, "lineitem").agg(F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.median("l_quantity"), 4).alias("median"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95"))
-
-
-@query("SELECT ROUND(QUANTILE_CONT(l_quantity, 0.95), 4) AS p95 FROM lineitem")
-def frequency_percentile(spark, d):
-    f = frequencies(read(spark, d, "lineitem").select("l_quantity"))
-    return f.agg(F.round(F.percentile(F.col("value").cast("double"), 0.95, F.col("cnt")), 4).alias("p95"))
+    c = _profiled(read(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_partkey"))
+    return spark.createDataFrame([(n, round(x.mean, 4), round(x.median, 4), round(x.p95, 4)) for n, x in c.items()], "column string, mean double, median double, p95 double")
 
 
 @query("SELECT 'documents' AS source, MIN(LENGTH(text))::BIGINT AS shortest, MAX(LENGTH(text))::BIGINT AS longest, ROUND(AVG(LENGTH(text)), 4) AS mean FROM documents UNION ALL SELECT 'conversations', MIN(LENGTH(text))::BIGINT, MAX(LENGTH(text))::BIGINT, ROUND(AVG(LENGTH(text)), 4) FROM conversations")
 def text_lengths(spark, d):
-    n = F.length("text").cast("long")
-    return _union([read(spark, d, t).agg(F.lit(t).alias("source"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.round(F.avg(n), 4).alias("mean")) for t in ("documents", "conversations")])
+    rows = [(t, *_profiled(read(spark, d, t).select("text"))["text"].length) for t in ("documents", "conversations")]
+    return spark.createDataFrame([(t, a, b, round(m, 4)) for t, a, b, m in rows], "source string, shortest long, longest long, mean double")
 
 
 _EMPTY = ", ".join(f"'{v}'" for v in text.EMPTY_LIKE)
@@ -130,8 +132,8 @@ _EMPTY = ", ".join(f"'{v}'" for v in text.EMPTY_LIKE)
 
 @query(f"SELECT COUNT(*) AS n, SUM(CASE WHEN trim(v) IN ({_EMPTY}) THEN 1 ELSE 0 END)::BIGINT AS empty_like FROM (SELECT v FROM {_values(NASTY)} UNION ALL SELECT source FROM documents)")
 def empty_like_count(spark, d):
-    v = nasty(spark).union(read(spark, d, "documents").select("source"))
-    return v.agg(F.count("*").alias("n"), F.count_if(text.is_empty_like(F.col("v"))).alias("empty_like"))
+    c = _profiled(nasty(spark).union(read(spark, d, "documents").select("source")))["v"]
+    return spark.createDataFrame([(c.rows, c.empty_like)], "n long, empty_like long")
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", {c} AS value, COUNT(*) AS cnt FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY cnt DESC, value LIMIT 20)" for t, c in (("part", "p_name"), ("documents", "source"))))
@@ -236,23 +238,105 @@ def orphans_ship_dates(spark, d):
     return relationships.orphans(read(spark, d, "lineitem"), "l_shipdate", read(spark, d, "orders"), "o_orderdate").agg(F.count("*").alias("n"))
 
 
-@query()
+STAR = {
+    "customer": "c_custkey:integer c_name:text c_nationkey:integer c_acctbal:number c_mktsegment:text",
+    "lineitem": "l_orderkey:integer l_partkey:integer l_suppkey:integer l_linenumber:integer l_quantity:number l_extendedprice:number l_discount:number l_tax:number l_returnflag:text l_linestatus:text l_shipdate:date",
+    "nation": "n_nationkey:integer n_name:text n_regionkey:integer", "orders": "o_orderkey:integer o_custkey:integer o_orderstatus:text o_totalprice:number o_orderdate:date o_orderpriority:text",
+    "part": "p_partkey:integer p_name:text p_brand:text p_type:text p_size:integer p_retailprice:number", "region": "r_regionkey:integer r_name:text", "supplier": "s_suppkey:integer s_name:text s_nationkey:integer s_acctbal:number",
+}
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{t}' AS s, {i} AS pos, '{c}' AS c, '{'numeric' if g in ('integer', 'number') else g}' AS g, {g == 'integer'} AS i, {c}::VARCHAR AS v, {f'{c}::DOUBLE' if g in ('integer', 'number') else 'NULL'} AS x FROM {t}"
+    for t, columns in STAR.items() for i, (c, g) in enumerate(x.split(":") for x in columns.split())
+)
+_NORM = "CASE chain WHEN 'exact' THEN v WHEN 'basic' THEN " + "NULLIF(trim(regexp_replace(lower(strip_accents(v)), '[^a-z0-9]+', ' ', 'g')), '')" + " ELSE NULLIF(ltrim(regexp_replace(v, '[^0-9]', '', 'g'), '0'), '') END"
+_SHARED = lambda x, y: f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({x}), list_distinct({y}))) / greatest(len(list_distinct({x})), len(list_distinct({y}))) END"
+#: Gates, normalisation chains, inclusion, coverage, score, classification and cardinality of every pair of columns of the star schema.
+_SCORES = f"""
+WITH f AS (SELECT s, pos, c, g, i, v, any_value(x) AS x, COUNT(*) AS n FROM ({_CELLS}) GROUP BY s, pos, c, g, i, v),
+shapes AS (SELECT s, c, p FROM (SELECT s, c, regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Za-zÁÉÍÓÚÑáéíóúñ]', 'A', 'g') AS p, SUM(n) AS k FROM f WHERE g = 'text' GROUP BY s, c, p) QUALIFY row_number() OVER (PARTITION BY s, c ORDER BY k DESC, p) = 1),
+st AS (
+    SELECT f.s, pos, f.c, g, i, SUM(n) AS n_rows, SUM(n) FILTER (v IS NOT NULL) AS nn, COUNT(v) AS d, COUNT(v) / SUM(n) FILTER (v IS NOT NULL) AS u, MIN(x) AS lo, MAX(x) AS hi, SUM(n * length(v)) / SUM(n) FILTER (v IS NOT NULL) AS len, any_value(coalesce(p, '')) AS p,
+        list_transform(string_split(f.c, '_'), lambda t: CASE t WHEN 'name' THEN 'nombre' ELSE t END) AS t
+    FROM f LEFT JOIN shapes USING (s, c) GROUP BY f.s, pos, f.c, g, i),
+able AS (SELECT * FROM st WHERE d > 1 AND NOT (g = 'text' AND NOT (d / n_rows < 0.1 AND d <= 50) AND (len > 40 OR (d / n_rows > 0.5 AND len > 15)))),
+two AS (
+    SELECT a.s AS sa, a.c AS ca, a.pos AS pa, b.s AS sb, b.c AS cb, b.pos AS pb, a.g AS ga, b.g AS gb, a.i AS ia, b.i AS ib, a.u AS ua, b.u AS ub, a.d AS da, b.d AS db, a.lo AS la, b.lo AS lb, a.hi AS ha, b.hi AS hb, a.p AS sha, b.p AS shb,
+        a.n_rows AS ra, b.n_rows AS rb, a.nn AS nna, b.nn AS nnb, {_SHARED("a.t", "b.t")} AS overlap, array_to_string(a.t, '') AS wa, array_to_string(b.t, '') AS wb, jaro_similarity(array_to_string(a.t, ''), array_to_string(b.t, '')) AS j
+    FROM able a JOIN able b ON a.s < b.s),
+likeness AS (
+    SELECT *, greatest(overlap, CASE WHEN wa = wb THEN 1 ELSE j + 0.1 * (1 - j) * (SELECT COUNT(*) FROM range(1, 5) r(k) WHERE k <= length(wa) AND k <= length(wb) AND wa[1:k] = wb[1:k]) END) AS sim FROM two),
+chained AS (
+    SELECT *, list_filter([
+        CASE WHEN ga = gb THEN {{'k': 'exact', 'w': 1.0}} WHEN regexp_matches(CASE WHEN ga = 'text' THEN sha ELSE shb END, '^9+([.]9+)?$') THEN {{'k': 'exact', 'w': 0.6}} END,
+        CASE WHEN ga = 'text' AND gb = 'text' THEN {{'k': 'basic', 'w': 1.0}} END,
+        CASE WHEN overlap < 0.3 THEN NULL WHEN ga = 'text' AND gb = 'text' AND sha LIKE '%9%' AND shb LIKE '%9%' THEN {{'k': 'digits', 'w': 0.8}} WHEN ga <> gb AND (CASE WHEN ga = 'text' THEN sha ELSE shb END) LIKE '%9%' THEN {{'k': 'digits', 'w': 0.6}} END
+    ], lambda z: z IS NOT NULL) AS chains
+    FROM likeness WHERE (ga = gb OR (ga IN ('numeric', 'text') AND gb IN ('numeric', 'text'))) AND NOT coalesce(ga = 'numeric' AND gb = 'numeric' AND (la > hb OR lb > ha), FALSE) AND (greatest(ua, ub) >= 0.9 OR sim >= 0.75) AND NOT (least(da, db) < 20 AND overlap < 0.4)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sa, sb ORDER BY sim DESC, pa, pb) AS place FROM chained WHERE len(chains) > 0 QUALIFY place <= 12),
+cand AS (SELECT * EXCLUDE (chains), unnest(chains).k AS chain, unnest(chains).w AS compat FROM ranked),
+va AS (SELECT sa, ca, sb, cb, chain, {_NORM} AS w, SUM(n) AS n FROM cand JOIN f ON f.s = sa AND f.c = ca WHERE v IS NOT NULL GROUP BY sa, ca, sb, cb, chain, w HAVING w IS NOT NULL),
+vb AS (SELECT sa, ca, sb, cb, chain, {_NORM} AS w, SUM(n) AS n FROM cand JOIN f ON f.s = sb AND f.c = cb WHERE v IS NOT NULL GROUP BY sa, ca, sb, cb, chain, w HAVING w IS NOT NULL),
+inc AS (
+    SELECT sa, ca, sb, cb, chain, COUNT(va.n) AS na, COUNT(vb.n) AS nb, COUNT(va.n + vb.n) AS inter, SUM(va.n) FILTER (vb.n IS NOT NULL) AS cova, SUM(vb.n) FILTER (va.n IS NOT NULL) AS covb
+    FROM va FULL JOIN vb USING (sa, ca, sb, cb, chain, w) GROUP BY sa, ca, sb, cb, chain),
+tried AS (SELECT cand.*, na, nb, inter, cova, covb, inter / CASE WHEN ub > ua THEN na ELSE nb END AS included FROM cand JOIN inc USING (sa, ca, sb, cb, chain) WHERE inter > 0),
+by_chain AS (SELECT sa, ca, sb, cb, MAX(included) FILTER (chain = 'exact') AS e, MAX(included) FILTER (chain = 'basic') AS b, MAX(included) FILTER (chain = 'digits') AS d FROM tried GROUP BY sa, ca, sb, cb),
+first2 AS (SELECT *, CASE WHEN b IS NOT NULL AND (e IS NULL OR (e < 0.98 AND b > e + 0.01)) THEN 'basic' ELSE 'exact' END AS k1, CASE WHEN k1 = 'basic' THEN b ELSE e END AS v1 FROM by_chain),
+best AS (SELECT tried.* FROM tried JOIN (SELECT *, CASE WHEN d IS NOT NULL AND (v1 IS NULL OR (v1 < 0.98 AND d > v1 + 0.01)) THEN 'digits' ELSE k1 END AS chain FROM first2) USING (sa, ca, sb, cb, chain)),
+sides AS (
+    SELECT *, ub > ua AS pb_, CASE WHEN ub > ua THEN sa ELSE sb END AS child, CASE WHEN ub > ua THEN ca ELSE cb END AS child_column, CASE WHEN ub > ua THEN sb ELSE sa END AS parent, CASE WHEN ub > ua THEN cb ELSE ca END AS parent_column,
+        CASE WHEN ub > ua THEN cova / nna ELSE covb / nnb END AS coverage, CASE WHEN ub > ua THEN inter / nb ELSE inter / na END AS parent_coverage, CASE WHEN ub > ua THEN db ELSE da END AS pd, greatest(ua, ub) AS pu, least(ua, ub) AS cu,
+        CASE WHEN ub > ua THEN nnb = rb ELSE nna = ra END AS whole, CASE WHEN ub > ua THEN 1 - nna / ra ELSE 1 - nnb / rb END AS child_nulls
+    FROM best),
+scored AS (
+    SELECT *, pd < 20 AND NOT (pu = 1 AND whole) AS coincidence, greatest(0, least(1, 0.18 * compat + 0.22 * sim + 0.30 * coverage + 0.20 * pu + 0.10 * CASE WHEN pu >= 0.99 THEN 1 ELSE 0.5 END
+        - CASE WHEN child_nulls > 0.3 THEN 0.08 ELSE 0 END - CASE WHEN chain = 'exact' AND ga = 'text' AND gb = 'text' AND sha <> shb THEN 0.10 ELSE 0 END - CASE WHEN parent_coverage < 0.1 AND pd >= 20 THEN 0.20 ELSE 0 END
+        - CASE WHEN (chain = 'digits' OR (ia AND ib)) AND overlap < 0.3 THEN 0.25 ELSE 0 END - CASE WHEN pd < 20 AND NOT (pu = 1 AND whole) THEN 0.25 ELSE 0 END)) AS score
+    FROM sides WHERE included >= 0.2 AND coverage >= 0.3),
+kept AS (SELECT *, CASE WHEN coincidence THEN 'domain_coincidence' WHEN coverage >= 0.98 THEN 'solid' WHEN coverage >= 0.75 THEN 'broken_integrity' ELSE 'partial' END AS classification FROM scored QUALIFY row_number() OVER (PARTITION BY sa, sb ORDER BY score DESC, place) <= 3)
+SELECT child, child_column, parent, parent_column, chain, ROUND(score, 6) AS score, CASE WHEN score >= 0.8 AND NOT coincidence AND classification <> 'partial' THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS confidence, classification,
+    CASE WHEN cu >= 0.99 AND pu >= 0.99 THEN '1:1' WHEN pu >= 0.99 THEN 'N:1' WHEN cu >= 0.99 THEN '1:N' ELSE 'N:M' END AS cardinality, ROUND(coverage, 6) AS coverage
+FROM kept"""
+
+
+def _discovered(spark, d) -> tuple[list[dict], dict, DataFrame]:
+    """(relationships, profiles, frequencies) of the star schema."""
+    tables = {t: read(spark, d, t) for t in STAR}
+    freqs = {t: frequencies(df).persist() for t, df in tables.items()}
+    profiles = dict(at_once(lambda t: (t, profile(t, tables[t], freqs[t])), STAR))
+    freq = _union([f.withColumn("source", F.lit(t)) for t, f in freqs.items()])
+    return relationships.discover(freq, profiles), profiles, freq
+
+
+@query(_SCORES)
 def candidate_scores(spark, d):
-    names = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
-    freqs = {t: frequencies(read(spark, d, t)).persist() for t in names}
-    found = relationships.discover(_union([f.withColumn("source", F.lit(t)) for t, f in freqs.items()]), {t: profile(t, read(spark, d, t), f) for t, f in freqs.items()})
-    for f in freqs.values():
-        f.unpersist()
-    rows = [(r["leftSourceId"], r["leftColumns"][0], r["rightSourceId"], r["rightColumns"][0], r["normalizations"][0], round(r["score"], 6), r["confidence"], r["classification"], r["cardinality"], round(r["coverage"], 6)) for r in found]
+    rows = [(r["leftSourceId"], r["leftColumns"][0], r["rightSourceId"], r["rightColumns"][0], (r["normalizations"] or ["exact"])[0], round(r["score"], 6), r["confidence"], r["classification"], r["cardinality"], round(r["coverage"], 6)) for r in _discovered(spark, d)[0]]
     return spark.createDataFrame(rows, "child string, child_column string, parent string, parent_column string, chain string, score double, confidence string, classification string, cardinality string, coverage double")
 
 
+@query(" UNION ALL ".join(f"SELECT '{a}.{b}' AS child, '{p}.{q}' AS parent" for a, b, p, q in FOREIGN[:-1]))
+def golden_foreign_keys(spark, d):
+    """The relationships of high confidence: the star schema's foreign keys, all of them and no other."""
+    found = [r for r in _discovered(spark, d)[0] if r["confidence"] == "high"]
+    return spark.createDataFrame([(f"{r['leftSourceId']}.{r['leftColumns'][0]}", f"{r['rightSourceId']}.{r['rightColumns'][0]}") for r in found], "child string, parent string")
+
+
 @query(" UNION ALL ".join(f"SELECT child, CASE WHEN cover >= 0.98 THEN 'solid' WHEN cover >= 0.75 THEN 'broken_integrity' WHEN cover >= 0.3 THEN 'partial' END AS classification, CASE WHEN cu >= 0.99 AND pu >= 0.99 THEN '1:1' WHEN pu >= 0.99 THEN 'N:1' WHEN cu >= 0.99 THEN '1:N' ELSE 'N:M' END AS cardinality FROM (SELECT '{a}.{b}' AS child, AVG(CASE WHEN {b} IN (SELECT {q} FROM {p}) THEN 1 ELSE 0 END) AS cover, COUNT(DISTINCT {b}) / COUNT({b}) AS cu, (SELECT COUNT(DISTINCT {q}) / COUNT({q}) FROM {p}) AS pu FROM {a})" for a, b, p, q in FOREIGN))
 def classify_and_cardinality(spark, d):
-    s = _stats(spark, d, FOREIGN)
-    cover, cu, pu = F.col("covered_a") / F.col("rows_a"), F.col("na") / F.col("rows_a") >= 0.99, F.col("nb") / F.col("rows_b") >= 0.99
-    kind = F.when(cover >= 0.98, "solid").when(cover >= 0.75, "broken_integrity").when(cover >= 0.3, "partial")
-    return s.select("child", kind.alias("classification"), F.when(cu & pu, "1:1").when(pu, "N:1").when(cu, "1:N").otherwise("N:M").alias("cardinality"))
+    rows = [(r["child"], scoring.classify(r["covered_a"] / r["rows_a"]), scoring.cardinality(r["na"] / r["rows_a"], r["nb"] / r["rows_b"])) for r in _stats(spark, d, FOREIGN).collect()]
+    return spark.createDataFrame(rows, "child string, classification string, cardinality string")
+
+
+_PAIRS = [(a, b) for a, b in (("l_orderkey", "o_orderkey"), ("c_nationkey", "n_nationkey"), ("codMunicipio", "municipio_code"), ("fechaPago", "payment_date"), ("id_proyecto", "project"), ("monto_total", "amount"), ("doc_id", "event_id"), ("año", "year"), ("participante_id", "beneficiary"), ("c_acctbal", "s_acctbal"))]
+_TOKENS = {"codMunicipio": "id municipio", "municipio_code": "municipio id", "fechaPago": "fecha pago", "payment_date": "pago fecha", "id_proyecto": "id proyecto", "project": "proyecto", "monto_total": "valor total", "amount": "valor", "año": "anio", "year": "anio", "participante_id": "beneficiario id", "beneficiary": "beneficiario"}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, ROUND({_SHARED('x', 'y')}, 6) AS overlap, ROUND(greatest({_SHARED('x', 'y')}, CASE WHEN v = w THEN 1 ELSE j + 0.1 * (1 - j) * (SELECT COUNT(*) FROM range(1, 5) r(k) WHERE k <= length(v) AND k <= length(w) AND v[1:k] = w[1:k]) END), 6) AS likeness FROM (SELECT *, array_to_string(x, '') AS v, array_to_string(y, '') AS w, jaro_similarity(array_to_string(x, ''), array_to_string(y, '')) AS j FROM (SELECT string_split('{_TOKENS.get(a, a.replace("_", " "))}', ' ') AS x, string_split('{_TOKENS.get(b, b.replace("_", " "))}', ' ') AS y))"
+    for a, b in _PAIRS))
+def name_likeness(spark, d):
+    """Words, shared words and Jaro-Winkler likeness of column names."""
+    return spark.createDataFrame([(a, b, round(names.token_overlap(a, b), 6), round(names.name_similarity(a, b), 6)) for a, b in _PAIRS], "a string, b string, overlap double, likeness double")
 
 
 JOINED = [("lineitem", "l_shipdate", "orders", "o_orderdate"), ("lineitem", "l_orderkey", "orders", "o_orderkey")]
@@ -262,11 +346,25 @@ def _fan_sql(a, b, p, q):
     return f"SELECT '{a}.{b}' AS child, COUNT(r.v)::BIGINT AS any_match, SUM(l.n * r.n)::BIGINT AS inner_rows, (SUM(l.n) FILTER (r.v IS NULL))::BIGINT AS unmatched_left, (SELECT COUNT(*) FROM {p} WHERE {q} NOT IN (SELECT {b} FROM {a} WHERE {b} IS NOT NULL)) AS unmatched_right FROM (SELECT {b} v, COUNT(*) n FROM {a} GROUP BY 1) l LEFT JOIN (SELECT {q} v, COUNT(*) n FROM {p} GROUP BY 1) r ON l.v = r.v"
 
 
-@query(" UNION ALL ".join(f"SELECT child, inner_rows, inner_rows + unmatched_left AS left_rows, inner_rows + unmatched_left + unmatched_right AS full_rows FROM (SELECT child, inner_rows, coalesce(unmatched_left, 0) AS unmatched_left, unmatched_right FROM ({_fan_sql(*p)}))" for p in JOINED))
+@query(" UNION ALL ".join(f"SELECT child, inner_rows, inner_rows + unmatched_left AS left_rows, inner_rows + unmatched_left + unmatched_right AS full_rows, ROUND(inner_rows / n_left, 1) AS multiplier, ROUND(1 - unmatched_left / n_left, 6) AS match_left FROM (SELECT child, inner_rows, coalesce(unmatched_left, 0) AS unmatched_left, unmatched_right, (SELECT COUNT(*) FROM {p[0]}) AS n_left FROM ({_fan_sql(*p)}))" for p in JOINED))
 def fanout_estimate(spark, d):
-    s = _stats(spark, d, JOINED)
-    left, right = F.col("rows_a") - F.col("covered_a"), F.col("rows_b") - F.col("covered_b")
-    return s.select("child", F.col("joined").alias("inner_rows"), (F.col("joined") + left).alias("left_rows"), (F.col("joined") + left + right).alias("full_rows"))
+    rows = []
+    for r in _stats(spark, d, JOINED).collect():
+        a = joins.arithmetic(r, r["rows_a"], r["rows_b"])  # no null keys here
+        rows.append((r["child"], a["inner"], a["left"], a["full"], a["multiplier"], round(a["matchLeft"], 6)))
+    return spark.createDataFrame(rows, "child string, inner_rows long, left_rows long, full_rows long, multiplier double, match_left double")
+
+
+_PREDICTED = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("supplier", "s_nationkey", "nation", "n_nationkey")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS left_source, '{p}' AS right_source, (SELECT COUNT(*) FROM {a} JOIN {p} ON {b} = {q}) AS inner_rows, (SELECT COUNT(*) FROM {a} LEFT JOIN {p} ON {b} = {q}) AS left_rows, (SELECT COUNT(*) FROM {a} FULL JOIN {p} ON {b} = {q}) AS full_rows, (SELECT ROUND(AVG(CASE WHEN {q} IN (SELECT {b} FROM {a}) THEN 1 ELSE 0 END), 6) FROM {p}) AS match_right" for a, b, p, q in _PREDICTED))
+def join_predictions(spark, d):
+    """What the product predicts for three foreign keys, against the joins themselves."""
+    _, profiles, freq = _discovered(spark, d)
+    found = [{"leftSourceId": a, "leftColumns": [b], "rightSourceId": p, "rightColumns": [q], "normalizations": [], "confidence": "high", "userDecision": "pending", "classification": "solid", "score": 0.9, "id": str(i)} for i, (a, b, p, q) in enumerate(_PREDICTED)]
+    rows = [(j["leftSourceId"], j["rightSourceId"], *(j["expectedRows"][k]["value"] for k in ("inner", "left", "full")), round(j["matchRate"]["rightInLeft"], 6)) for j in joins.predict(freq, profiles, found) if j["relationshipId"] is not None]
+    return spark.createDataFrame(rows, "left_source string, right_source string, inner_rows long, left_rows long, full_rows long, match_right double")
 
 
 @query("SELECT l.v AS value, l.n AS left_count, r.n AS right_count FROM (SELECT l_orderkey::VARCHAR v, COUNT(*) n FROM lineitem GROUP BY 1) l JOIN (SELECT o_orderkey::VARCHAR v, COUNT(*) n FROM orders GROUP BY 1) r USING (v) ORDER BY l.n * r.n DESC, l.v DESC LIMIT 1")
@@ -331,9 +429,81 @@ def nm_pairs(spark, d):
     return bridges.pairs(read(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
-@query("SELECT COUNT(*) AS n_rows, COUNT(DISTINCT l_partkey) AS entities, COUNT(*) - COUNT(DISTINCT l_partkey) AS inflated FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+_DEGREES = "COUNT(*) AS n_rows, COUNT(DISTINCT a) AS left_entities, COUNT(DISTINCT b) AS right_entities, ROUND(COUNT(*) / COUNT(DISTINCT a), 6) AS left_degree, ROUND(COUNT(*) / COUNT(DISTINCT b), 6) AS right_degree"
+
+
+def _bridge_row(b: dict) -> tuple:
+    m = b["resultMetrics"]
+    return b["kind"], m["rows"], m["distinctLeft"], m["distinctRight"], round(m["avgDegreeLeft"], 6), round(m["avgDegreeRight"], 6)
+
+
+def _supplied(spark, d) -> DataFrame:
+    """Parts by supplier, with what the part alone decides: a table that repeats its parts."""
+    return read(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+
+
+def _bridge_of(df: DataFrame, name: str) -> list[dict]:
+    columns = profile(name, df, frequencies(df))
+    return bridges.find_bridges(name, df, columns, keys.find_key(df, columns))
+
+
+@query(f"SELECT 'n_m' AS kind, {_DEGREES} FROM (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) UNION ALL SELECT 'embedded_list', {_DEGREES} FROM (SELECT DISTINCT user_id AS a, event_type AS b FROM events)")
+def bridge_proposals(spark, d):
+    rows = [_bridge_row(b) for df, name in ((_supplied(spark, d), "supplied"), (_listed(spark, d), "listed")) for b in _bridge_of(df, name)]
+    return spark.createDataFrame(rows, "kind string, n_rows long, left_entities long, right_entities long, left_degree double, right_degree double")
+
+
+@query("SELECT 'inflated_count' AS category, 'warning' AS severity, COUNT(*) - COUNT(DISTINCT l_partkey) AS affected FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
 def inflated_count(spark, d):
-    return nm_pairs(spark, d).agg(F.count("*").alias("n_rows"), F.count_distinct("l_partkey").alias("entities")).withColumn("inflated", F.col("n_rows") - F.col("entities"))
+    found = quality.from_others(_bridge_of(_supplied(spark, d), "supplied"), [])
+    return spark.createDataFrame([(f["category"], f["severity"], f["affectedRows"]) for f in found], "category string, severity string, affected long")
+
+
+@query("SELECT 'orphans' AS category, 'critical' AS severity, SUM(CASE WHEN custkey IN (SELECT c_custkey FROM customer) THEN 0 ELSE 1 END)::BIGINT AS affected FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS custkey FROM orders)")
+def orphans_finding(spark, d):
+    """Orders of which a tenth point to no customer: found as a relationship with broken integrity, and told."""
+    o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    tables = {"customer": read(spark, d, "customer"), "orders": o}
+    freqs = {t: frequencies(x) for t, x in tables.items()}
+    found = relationships.discover(_union([f.withColumn("source", F.lit(t)) for t, f in freqs.items()]), {t: profile(t, x, freqs[t]) for t, x in tables.items()})
+    told = [f for f in quality.from_others([], found) if f["columns"][0]["column"] == "o_custkey"]
+    return spark.createDataFrame([(f["category"], f["severity"], f["affectedRows"]) for f in told], "category string, severity string, affected long")
+
+
+@query(f"SELECT 'mirror_column' AS category, SUM(CASE WHEN ABS(l_quantity * l_tax - total) > 0.005 THEN 1 ELSE 0 END)::BIGINT AS affected FROM ({_MIRROR.replace('= 7', '= 7 AND l_orderkey % 5 = 0')}) UNION ALL SELECT 'redundant_copy', COUNT(*) - COUNT(DISTINCT c_nationkey) FROM customer")
+def mirror_and_copy_findings(spark, d):
+    """A total that is a product but for some rows, and a name that a key decides."""
+    df = read(spark, d, "lineitem").select("l_quantity", "l_tax", (F.col("l_quantity") * F.col("l_tax") + F.when((F.col("l_linenumber") == 7) & (F.col("l_orderkey") % 5 == 0), 1).otherwise(0)).alias("total"))
+    copy = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name")
+    columns = profile("customer", copy, frequencies(copy))
+    found = quality.mirror_columns("lineitem", df, profile("lineitem", df, frequencies(df))) + quality.redundant_copies("customer", copy, columns, keys.find_key(copy, columns))
+    return spark.createDataFrame([(f["category"], f["affectedRows"]) for f in found], "category string, affected long")
+
+
+#: Names and shapes of columns, and the meaning that each must get.
+_MEANT = [
+    ("correo", "concat('u', k, '@mail.example')", "email", "high", True), ("email_2", "concat('none ', k)", "email", "low", True), ("telefono", "concat('300 555 ', 1000 + k % 9000)", "phone", "high", True), ("celular", "'no tiene'", "phone", "low", True),
+    ("cedula", "concat('9', k)", "person_document", "high", True), ("direccion", "concat('Calle ', k)", "address", "medium", True), ("nombre_completo", "'Ana Ruiz'", "person_name", "high", True), ("depto", "concat('D', k % 7)", "geo_admin", "high", False),
+    ("cod_municipio", "k % 9", "geo_admin", "high", False), ("lat", "k * 0.1D", "geo_lat", "medium", True), ("lng", "k * 0.1D", "geo_lon", "medium", True), ("nit", "concat('900', k)", "identifier", "high", False), ("el_valor_total", "k * 10", "currency", "high", False),
+    ("pct_avance", "k % 101", "percentage", "medium", False), ("anio", "2020 + k % 3", "category", "high", False), ("id_cosa", "k", "identifier", "high", False), ("codigo", "concat('x', k % 20)", "identifier", "medium", False), ("ficha", "concat('P-', 1000 + k)", "identifier", "medium", False),
+    ("activo", "if(k % 2 = 0, 'Si', 'NO')", "boolean_coded", "high", False), ("nivel", "k % 5", "category", "medium", False), ("puntos", "k", "integer", "high", False), ("medida", "k * 0.5D", "number", "high", False),
+    ("nombre", "concat(element_at(array('Ana', 'Luis', 'Eva'), cast(k % 3 + 1 as int)), ' ', initcap(translate(cast(k as string), '0123456789', 'abcdefghij')))", "person_name", "medium", True), ("nombre_entidad", "'Ana Ruiz'", "category", "medium", False),
+    ("fecha", "concat(2000 + k % 20, '-01-02')", "date", "high", False), ("color", "concat('c', k % 4)", "category", "medium", False), ("nota", "concat('esta es una nota bastante larga sobre la fila numero ', k)", "free_text", "medium", False), ("breve", "concat('texto algo corto ', k)", "free_text", "low", False),
+    ("resto", "concat('r', k % 60)", "unknown", "low", False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{c}', {p})" for n, _, k, c, p in _MEANT) + ") t(\"column\", kind, confidence, personal)")
+def column_meanings(spark, d):
+    df = read(spark, d, "customer").where("c_custkey < 100").selectExpr("c_custkey AS k").selectExpr(*(f"{e} AS {n}" for n, e, *_ in _MEANT))
+    return spark.createDataFrame([(c.name, c.kind, c.confidence, c.personal) for c in profile("t", df, frequencies(df))], "column string, kind string, confidence string, personal boolean")
+
+
+@query("SELECT * FROM (VALUES ('Santa Rosa', 4), ('Bogotá', 3), ('Serie 1', 1), ('Serie 2', 1)) t(leader, n)")
+def spelling_groups(spark, d):
+    """Spellings of places: accents, case, abbreviations, words left out; a series is not one thing."""
+    v = [("Santa Rosa", 9), ("STA. ROSA", 4), ("Sta Rosa Cauca", 3), ("santa  rosa", 2), ("Bogotá", 8), ("BOGOTA D.C.", 5), ("Bogota, DC", 1), ("Serie 1", 3), ("Serie 2", 2), ("DC", 1)]
+    return spark.createDataFrame([(g[0][0], len(g)) for g in names.cluster_variants(v)], "leader string, n int")
 
 
 @query("SELECT NULLIF(trim(regexp_replace(lower(strip_accents(v)), '[^a-z0-9]+', ' ', 'g')), '') AS form, COUNT(DISTINCT v) AS spellings, COUNT(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS v FROM part) GROUP BY 1")
@@ -343,20 +513,37 @@ def near_dup_groups(spark, d):
     return f.groupBy(text.norm_basic(F.col("value")).alias("form")).agg(F.count("*").alias("spellings"), F.sum("cnt").alias("n"))
 
 
-@query()
+_SPELT = "SELECT CASE c_custkey % 3 WHEN 0 THEN upper(c_mktsegment) WHEN 1 THEN lower(c_mktsegment) ELSE c_mktsegment || '.' END AS v FROM customer"
+
+
+@query(f"SELECT 'segment: ' || COUNT(DISTINCT v) || ' spellings of about ' || COUNT(DISTINCT {_BASIC}) || ' things' AS title, COUNT(*) AS affected FROM ({_SPELT})")
 def near_dup_clusters(spark, d):
-    v = read(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("p_name"))
+    by = F.col("c_custkey") % 3
+    v = read(spark, d, "customer").select(F.when(by == 0, F.upper("c_mktsegment")).when(by == 1, F.lower("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit("."))).alias("segment"))
     f = frequencies(v)
-    found = quality.near_duplicates("part", profile("part", v, f), f)
+    found = quality.near_duplicates("customer", profile("customer", v, f), f)
     return spark.createDataFrame([(x["title"], x["affectedRows"]) for x in found], "title string, affected long")
 
 
-@query("SELECT 'mixed' AS \"column\", 'mixed_formats' AS risk")
+_DATES = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed, strftime(o_orderdate, '%Y-%m-%d') AS iso, CASE WHEN o_orderkey % 2 = 0 THEN '01/02/2024' ELSE '03/04/2024' END AS unclear FROM orders"
+_ISO, _SLASH = "regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')", "regexp_matches(v, '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$')"
+_TOP_DATES = " UNION ALL ".join(f"(SELECT '{c}' AS c, {c} AS v, COUNT(*) AS n FROM ({_DATES}) GROUP BY 2 ORDER BY n DESC, v LIMIT 20)" for c in ("mixed", "iso", "unclear"))
+
+
+@query(f"SELECT c AS \"column\", CASE WHEN SUM(n) FILTER ({_ISO}) > 0 AND SUM(n) FILTER ({_SLASH}) > 0 THEN 'mixed_formats' ELSE 'ambiguous_day_and_month' END AS risk FROM ({_TOP_DATES}) GROUP BY c HAVING SUM(n) FILTER ({_SLASH}) > 0 AND (SUM(n) FILTER ({_ISO}) > 0 OR bool_and(coalesce(TRY_CAST(split_part(v, '/', 1) AS INT) <= 12 AND TRY_CAST(split_part(v, '/', 2) AS INT) <= 12, TRUE)))")
 def date_format_risks(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("mixed"))
+    half, day = F.col("o_orderkey") % 2 == 0, lambda f: F.date_format("o_orderdate", f)
+    o = read(spark, d, "orders").select(F.when(half, day("dd/MM/yyyy")).otherwise(day("yyyy-MM-dd")).alias("mixed"), day("yyyy-MM-dd").alias("iso"), F.when(half, "01/02/2024").otherwise("03/04/2024").alias("unclear"))
     return spark.createDataFrame([(c.name, c.risks[0]) for c in profile("orders", o, frequencies(o)) if c.risks], "column string, risk string")
 
 
+@query("SELECT 'personal_data' AS category, 'correo' AS \"column\", COUNT(*) AS affected FROM customer")
+def personal_finding(spark, d):
+    df = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("correo"))
+    found = quality.from_profiles("customer", profile("customer", df, frequencies(df)))
+    return spark.createDataFrame([(f["category"], f["columns"][0]["column"], f["affectedRows"]) for f in found], "category string, column string, affected long")
+
+
 @query("SELECT v, CASE WHEN length(trim(v)) <= 1 THEN '•••' ELSE left(trim(v), 1) || '•••' || CASE WHEN length(trim(v)) > 8 THEN right(trim(v), 1) ELSE '' END END AS masked FROM (SELECT 'user' || c_custkey || '@mail.example' AS v FROM customer UNION ALL SELECT 'x')")
 def personal_data_mask(spark, d):
     v = read(spark, d, "customer").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("v")).union(spark.createDataFrame([("x",)], "v string"))
@@ -370,10 +557,10 @@ _EDGES = ", ".join(f"('{a}', '{p}')" for a, _, p, _ in FOREIGN)
 WITH e AS (SELECT * FROM (VALUES {_EDGES}) t(x, y)), u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 two AS (SELECT a.x, b.y FROM u a JOIN u b ON a.y = b.x WHERE a.x <> b.y),
 three AS (SELECT a.x, c.y FROM u a JOIN u b ON a.y = b.x JOIN u c ON b.y = c.x WHERE a.x <> b.y AND a.x <> c.y AND a.y <> c.y)
-SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT * FROM two UNION SELECT * FROM three) r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.x = r.x AND u.y = r.y)""")
+SELECT least(x, y) AS a, greatest(x, y) AS b, ROUND(MAX(score)::DOUBLE, 6) AS score, MIN(stops) AS stops FROM (SELECT x, y, 0.81 AS score, 3 AS stops FROM two UNION SELECT x, y, 0.729, 4 FROM three) r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.x = r.x AND u.y = r.y) GROUP BY 1, 2""")
 def indirect_routes(spark, d):
     edges = [{"leftSourceId": a, "rightSourceId": p, "score": 0.9, "confidence": "high", "userDecision": "pending"} for a, _, p, _ in FOREIGN]
-    return spark.createDataFrame([tuple(sorted((r["from"], r["to"]))) for r in joins.routes(edges)], "a string, b string")
+    return spark.createDataFrame([(*sorted((r["from"], r["to"])), round(r["score"], 6), len(r["via"])) for r in joins.routes(edges)], "a string, b string, score double, stops int")
 
 
 @query("SELECT LEAST(1000, COUNT(*)) AS n, LEAST(1000, COUNT(*)) AS n_distinct FROM (SELECT DISTINCT * FROM lineitem)")
@@ -385,8 +572,6 @@ def sample_exact_n(spark, d):
 @query()
 def analysis_report(spark, d):
     """The whole diagnosis of the star schema: one row per relationship, finding, key, prediction and bridge."""
-    from tamiz.plans.analysis import analyze
-
     r = analyze(spark, {t: read(spark, d, t) for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")})
     rows = [(k, x.get("id") or x.get("sourceId"), str(x.get("title") or x.get("classification") or x.get("columns") or x.get("keys"))) for k in ("relationships", "findings", "keys", "joinPredictions", "bridgeProposals") for x in r[k]]
     return spark.createDataFrame(rows, "part string, id string, says string")

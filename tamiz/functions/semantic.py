@@ -7,13 +7,17 @@ from dataclasses import dataclass, field
 
 from tamiz.functions.names import normal_name
 
-ISO, SLASH = re.compile(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}.*)?$"), re.compile(r"^(\d{1,2})/(\d{1,2})/\d{4}$")
-EMAIL, CODE = re.compile(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), re.compile(r"^[A-Z]{1,4}-?\d{2,}$")
-PERSON = re.compile(r"^[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+( [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)+$")
-ORGANISATION = re.compile(r"(?i)\b(s\.?a\.?s?|ltda|fundaci[oó]n|alcald[ií]a|ministerio|corporaci[oó]n|universidad|secretar[ií]a|inc|corp)\b")
-#: Codes for yes and no.
+#: Shapes of values, codes for yes and no, and words of column names.
+ISO, SLASH = re.compile(r"^\d{4}-\d{2}-\d{2}"), re.compile(r"^(\d{1,2})/(\d{1,2})/(\d{4})$")
+EMAIL, PHONE = re.compile(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"), re.compile(r"^[+]?[\d\s().-]{7,17}$")
+CODE = re.compile(r"^[A-Z]{1,4}-?\d{2,}$")
+PERSON = re.compile(r"^[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+( [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,3}$")
 BOOLEAN = {"si", "sí", "no", "s", "n", "true", "false", "0", "1", "x"}
-ID_LIKE = re.compile(r"(^|_)(id|cod|codigo|key|uuid)(_|$)")
+ORGANISATION = re.compile(r"(?i)fundaci|corporaci|asociaci|cooperativa|s\.?a\.?s|ltda|e\.?s\.?e|alcald|gobernaci|ministerio|universidad")
+ORGANISATION_NAMES = ("entidad", "empresa", "organizacion", "institucion", "proveedor", "proyecto", "programa", "producto")
+PLACES = ("municipio", "mpio", "muni", "ciudad", "departamento", "dpto", "depto", "vereda", "localidad")
+MONEY = ("presupuesto", "valor", "monto", "precio", "importe")
+ID_LIKE = re.compile(r"^id$|^id_|_id$|^codigo|^cod_|_key$")
 
 
 @dataclass
@@ -36,7 +40,7 @@ def infer(name: str, group: str, integer: bool, timed: bool, top: list[tuple[str
         return Meaning("datetime" if timed else "date", "high")
     iso, slash = share(ISO.match), share(SLASH.match)
     if iso + slash > 0.8:
-        parts = [tuple(map(int, m.groups())) for v, _ in top if (m := SLASH.match(v))]
+        parts = [tuple(map(int, m.groups()[:2])) for v, _ in top if (m := SLASH.match(v))]
         risks = []
         if iso > 0 and slash > 0:
             risks.append("mixed_formats")
@@ -48,25 +52,25 @@ def infer(name: str, group: str, integer: bool, timed: bool, top: list[tuple[str
     if has("correo", "email", "mail"):
         return Meaning("email", "high" if share(EMAIL.match) > 0.5 else "low", True)
     if has("telefono", "celular", "movil", "phone"):
-        return Meaning("phone", "high", True)
+        return Meaning("phone", "high" if share(PHONE.match) > 0.5 else "low", True)
     if has("documento", "cedula", "dni"):
         return Meaning("person_document", "high", True)
     if has("direccion"):
         return Meaning("address", "medium", True)
-    if has("nombre_completo", "nombres_apellidos"):
+    if "nombre_completo" in n or "nombres_apellidos" in n:
         return Meaning("person_name", "high", True)
-    if re.search(r"(^|_)(municipio|mpio|departamento|dpto|ciudad|vereda|region|provincia)", n):
-        return Meaning("geo_admin", "medium")
+    if has(*PLACES) or "municipio" in n or "departamento" in n:
+        return Meaning("geo_admin", "high")
     if has("lat", "latitud"):
-        return Meaning("geo_lat", "high", True)
+        return Meaning("geo_lat", "medium", True)
     if has("lon", "lng", "longitud"):
-        return Meaning("geo_lon", "high", True)
+        return Meaning("geo_lon", "medium", True)
     if has("nit"):
         return Meaning("identifier", "high")
-    if numeric and re.match(r"(presupuesto|valor|monto|precio|importe)", n):
+    if numeric and any(f"_{n}".find(f"_{w}") >= 0 for w in MONEY):
         return Meaning("currency", "high")
-    if numeric and has("porcentaje", "pct"):
-        return Meaning("percentage", "high")
+    if numeric and ("porcentaje" in n or has("pct")):
+        return Meaning("percentage", "medium")
     if has("anio", "ano", "mes", "trimestre", "semestre"):
         return Meaning("category", "high")
     named = bool(ID_LIKE.search(n))
@@ -76,7 +80,7 @@ def infer(name: str, group: str, integer: bool, timed: bool, top: list[tuple[str
         return Meaning("boolean_coded", "high")
     if numeric:
         return Meaning("category", "medium") if distinct <= 12 and rows > 50 else Meaning("integer" if integer else "number", "high")
-    organisation = re.search(r"entidad|empresa|organiz|institu|proveedor|company|vendor", n) or share(lambda v: bool(ORGANISATION.search(v))) >= 0.2
+    organisation = any(w in n for w in ORGANISATION_NAMES) or share(ORGANISATION.search) >= 0.2
     if has("nombre", "nombres") and not organisation and share(PERSON.match) > 0.7 and uniqueness > 0.3:
         return Meaning("person_name", "medium", True)
     ratio = distinct / rows if rows else 0.0

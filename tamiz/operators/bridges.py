@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +38,24 @@ def degree(df: DataFrame, key: str) -> DataFrame:
 
 
 def determines(df: DataFrame, tests: list[tuple[str, str]]) -> dict[tuple[str, str], bool]:
-    """Which x decide their y (a null y counts as empty, a null x not at all), all tests in one pass."""
+    """Which x decide their y (a null y counts as empty, a null x not at all).
+
+    One grouping per x, with map-side partial results, serves all its y: x decides y if the least and the greatest
+    128-bit hash of y agree in every group.
+    """
     if not tests:
         return {}
-    x = lambda c: df[f"`{c}`"]
-    aggs = [F.count_distinct(x(c)).alias(f"d{i}") for i, c in enumerate(dict.fromkeys(a for a, _ in tests))]
-    place = {c: i for i, c in enumerate(dict.fromkeys(a for a, _ in tests))}
-    aggs += [F.count_distinct(F.when(x(a).isNotNull(), F.struct(x(a), F.coalesce(x(b).cast("string"), F.lit(""))))).alias(f"t{i}") for i, (a, b) in enumerate(tests)]
-    r = df.agg(*aggs).first()
-    return {t: r[f"d{place[t[0]]}"] == r[f"t{i}"] for i, t in enumerate(tests)}
+    parts, ys = [], {}
+    for a, b in tests:
+        ys.setdefault(a, []).append(b)
+    for i, (a, bs) in enumerate(ys.items()):
+        y = [F.coalesce(df[f"`{b}`"].cast("string"), F.lit("")) for b in bs]
+        edge = [f(h).alias(f"{n}{k}{s}") for k, c in enumerate(y) for s, h in enumerate((F.xxhash64(c), F.xxhash64(F.lit(1), c))) for n, f in (("lo", F.min), ("hi", F.max))]
+        one = df.where(df[f"`{a}`"].isNotNull()).groupBy(df[f"`{a}`"]).agg(*edge)
+        apart = [F.count_if((F.col(f"lo{k}0") != F.col(f"hi{k}0")) | (F.col(f"lo{k}1") != F.col(f"hi{k}1"))) for k in range(len(bs))]
+        parts.append(one.agg(F.lit(i).alias("i"), F.array(*apart).alias("apart")))
+    got = {r["i"]: r["apart"] for r in reduce(DataFrame.unionByName, parts).collect()}
+    return {(a, b): got[i][k] == 0 for i, (a, bs) in enumerate(ys.items()) for k, b in enumerate(bs)}
 
 
 def _metrics(bridge: DataFrame, a: str, b: str) -> dict:

@@ -49,7 +49,7 @@ def run_indicator(left: DataFrame, right: DataFrame, keys: tuple[str, str], metr
 
 def predict(freq: DataFrame, profiles: dict[str, list[Column]], relationships: list[dict]) -> list[dict]:
     usable = sorted((r for r in relationships if r["confidence"] != "low" and r["userDecision"] != "rejected" and r["classification"] != "domain_coincidence"), key=lambda r: -r["score"])[:PREDICTED]
-    jobs = [(r["leftSourceId"], r["leftColumns"][0], r["rightSourceId"], r["rightColumns"][0], r["normalizations"][0], r["id"]) for r in usable]
+    jobs = [(r["leftSourceId"], r["leftColumns"][0], r["rightSourceId"], r["rightColumns"][0], (r["normalizations"] or ["exact"])[0], r["id"]) for r in usable]
     taken = {frozenset((j[:2], j[2:4])) for j in jobs}
     dates = [c for cs in profiles.values() for c in cs if c.kind in ("date", "datetime")]
     probes = [(a.source, a.name, b.source, b.name, "exact", None) for i, a in enumerate(dates) for b in dates[i + 1 :] if a.source != b.source and name_similarity(a.name, b.name) >= 0.5 and frozenset(((a.source, a.name), (b.source, b.name))) not in taken]
@@ -67,7 +67,7 @@ def predict(freq: DataFrame, profiles: dict[str, list[Column]], relationships: l
         personal = any(c.personal for c in (*left, *right) if c.name in (lc, rc))
         worst = {"value": mask_value(r["worst"]["v"]) if personal else r["worst"]["v"], "leftCount": r["worst"]["a"], "rightCount": r["worst"]["b"]}
         out.append({
-            "id": f"join_{len(out) + 1}", "leftSourceId": ls, "rightSourceId": rs, "relationshipId": rel, "keys": [{"left": lc, "right": rc}], "normalizations": [chain], "expectedRows": {k: {"value": a[k], "exact": True} for k in ("inner", "left", "full")},
+            "id": f"join_{len(out) + 1}", "leftSourceId": ls, "rightSourceId": rs, "relationshipId": rel, "keys": [{"left": lc, "right": rc}], "normalizations": [] if chain == "exact" else [chain], "expectedRows": {k: {"value": a[k], "exact": True} for k in ("inner", "left", "full")},
             "matchRate": {"leftInRight": a["matchLeft"], "rightInLeft": a["matchRight"]}, "unmatchedLeft": a["unmatchedLeft"], "unmatchedRight": a["unmatchedRight"], "mostlyNullColumnsAfterJoin": mostly_null(right, rc, a["matchLeft"]),
             "fanOut": {"risk": a["risk"], "multiplier": a["multiplier"], "worstKey": worst}, "indicators": indicators(left, right, (lc, rc), a["matchLeft"]), "evidence": [{"label": "frequencies", "sql": f'SELECT SUM(l.n * r.n) FROM (SELECT "{lc}" v, COUNT(*) n FROM "{ls}" GROUP BY 1) l JOIN (SELECT "{rc}" v, COUNT(*) n FROM "{rs}" GROUP BY 1) r USING (v)', "result": a}],
         })

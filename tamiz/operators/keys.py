@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -21,12 +22,12 @@ def _rank(c: Column) -> tuple:
 
 
 def pair_ratios(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
-    """Distinct pairs by row, of all candidate pairs in one pass."""
+    """Distinct pairs by row; each pair is grouped by itself, so no row is copied for the others."""
     if not pairs:
         return {}
-    counts = [F.count_distinct(F.struct(df[f"`{a}`"], df[f"`{b}`"])).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    r = df.agg(F.count("*").alias("n"), *counts).first()
-    return {p: r[f"p{i}"] / r["n"] if r["n"] else 0.0 for i, p in enumerate(pairs)}
+    parts = [df.groupBy(df[f"`{a}`"].alias("a"), df[f"`{b}`"].alias("b")).agg(F.count("*").alias("n")).agg(F.lit(i).alias("i"), F.count("*").alias("d"), F.sum("n").alias("n")) for i, (a, b) in enumerate(pairs)]
+    rows = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    return {p: rows[i]["d"] / rows[i]["n"] if rows[i]["n"] else 0.0 for i, p in enumerate(pairs)}
 
 
 def find_key(df: DataFrame, columns: list[Column]) -> dict | None:

@@ -20,7 +20,7 @@ def finding(severity: str, category: str, title: str, sources: list[str], column
 
 def near_duplicates(source: str, columns: list[Column], freq: DataFrame) -> list[dict]:
     able = [c for c in columns if c.group == "text" and not c.personal and c.kind in ("geo_admin", "category", "unknown") and 4 <= c.distinct <= VALUES and c.rows >= 20 and c.uniqueness <= 0.9]
-    able = [c for c in able if sum(n for v, n in c.top if any(s in v for s in ",;|")) <= 0.15 * sum(n for _, n in c.top)]
+    able = [c for c in able if sum(n for v, n in c.top if any(f"{s} " in v for s in ",;|")) <= 0.15 * sum(n for _, n in c.top)]
     if not able:
         return []
     values: dict[str, list] = {}
@@ -31,7 +31,7 @@ def near_duplicates(source: str, columns: list[Column], freq: DataFrame) -> list
         groups = cluster_variants(values.get(c.name, []))
         if len(groups) < 0.9 * c.distinct and any(len(g) > 1 for g in groups):
             some = [{"kept": g[0][0], "variants": [v for v, _ in g[1:]]} for g in groups if len(g) > 1]
-            out.append(finding("warning", "near_duplicates", f"{c.name}: {c.distinct} spellings of about {len(groups)} things", [source], [(source, c.name)], sum(n for g in groups for _, n in g[1:]), f'SELECT "{c.name}", COUNT(*) FROM "{source}" GROUP BY 1 ORDER BY 2 DESC', some[:5], "medium", "low"))
+            out.append(finding("warning", "near_duplicates", f"{c.name}: {c.distinct} spellings of about {len(groups)} things", [source], [(source, c.name)], sum(n for g in groups if len(g) > 1 for _, n in g), f'SELECT "{c.name}", COUNT(*) FROM "{source}" GROUP BY 1 ORDER BY 2 DESC', some[:5], "medium", "low"))
     return out
 
 

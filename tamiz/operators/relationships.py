@@ -9,12 +9,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.functions.names import GENERIC, name_similarity, token_overlap, tokens
+from tamiz.functions.names import name_similarity, token_overlap
 from tamiz.functions.text import normalise
-from tamiz.operators.profile import Column
+from tamiz.operators.profile import Column, form_of
 from tamiz.operators.scoring import cardinality, classify, score
 
 CANDIDATES, KEPT = 12, 3
+SAID = {"exact": "", "basic": " when case, accents and punctuation are left out", "digits": " when only digits are compared"}
+LIMITS = {"exact": [], "basic": ["the spellings differ; write them alike at the source"], "digits": ["only the digits agree; write the codes alike at the source"]}
 NUMBER = re.compile(r"^9+(\.9+)?$")
 
 
@@ -71,12 +73,11 @@ def candidates(profiles: dict[str, list[Column]]) -> list[Candidate]:
 def inclusion(freq: DataFrame, wanted: list[tuple[int, str, str, str, str, str]]) -> DataFrame:
     """Per wanted (id, source, column, source, column, chain): id, na, nb, inter, rows_a, covered_a, rows_b, covered_b.
 
-    ``freq`` has (source, column, value, cnt).  Values are normalised, not rows; the wanted list is metadata.
+    ``freq`` has (source, column, value, far, cnt).  Values are normalised, not rows; the wanted list is metadata.
     """
     spark = freq.sparkSession
     sides = spark.createDataFrame([(i, side, *(w if side == "a" else v), chain) for i, *rest in wanted for w, v, chain in [((rest[0], rest[1]), (rest[2], rest[3]), rest[4])] for side in "ab"], "id long, side string, source string, column string, chain string")
-    value = F.col("value")
-    norm = F.when(F.col("chain") == "basic", normalise(value, "basic")).when(F.col("chain") == "digits", normalise(value, "digits")).otherwise(value)
+    norm = F.when(F.col("chain") == "basic", form_of("basic")).when(F.col("chain") == "digits", form_of("digits")).otherwise(F.col("value"))
     rows = freq.join(F.broadcast(sides), ["source", "column"]).select("id", "side", norm.alias("v"), "cnt")
     both = rows.groupBy("id", "v").agg(*(F.sum(F.when(F.col("side") == s, F.col("cnt"))).alias(s) for s in "ab"))
     a, b, ok = F.col("a"), F.col("b"), F.col("v").isNotNull()
@@ -119,9 +120,7 @@ def discover(freq: DataFrame, profiles: dict[str, list[Column]]) -> list[dict]:
         coverage = covered / rows if rows else 0.0
         if included < 0.2 or coverage < 0.3:
             continue
-        say = [set(tokens(x.name)) - GENERIC for x in (child, parent)]
         dense = (c.chain == "digits" or (child.integer and parent.integer)) and token_overlap(child.name, parent.name) < 0.3
-        dense |= child.integer and parent.integer and all(say) and not say[0] & say[1] and not {"key"} & set(tokens(child.name))
         s = score(c.compat, name_similarity(child.name, parent.name), coverage, parent.uniqueness, child.null_ratio, c.chain == "exact" and child.group == parent.group == "text" and _shape(child) != _shape(parent), r.inter / n_parent, parent.distinct, dense, parent.uniqueness == 1 and not parent.nulls)
         kind = classify(coverage, s.pop("domain_coincidence"))
         confidence = s["confidence"] if kind != "partial" or s["confidence"] != "high" else "medium"
@@ -129,7 +128,8 @@ def discover(freq: DataFrame, profiles: dict[str, list[Column]]) -> list[dict]:
         sql = f'SELECT COUNT(*) FROM "{child.source}" WHERE {text.format(child.name)} IN (SELECT {text.format(parent.name)} FROM "{parent.source}")'
         out.setdefault((c.a.source, c.b.source), []).append({
             "leftSourceId": child.source, "leftColumns": [child.name], "rightSourceId": parent.source, "rightColumns": [parent.name], "status": "inferred", "classification": kind, "cardinality": cardinality(child.uniqueness, parent.uniqueness),
-            **s, "confidence": confidence, "inclusion": included, "coverage": coverage, "orphans": rows - covered, "normalizations": [c.chain], "userDecision": "pending", "evidence": [{"label": "coverage", "sql": sql, "result": {"rows": rows, "covered": covered}, "totalRows": rows}],
+            **s, "confidence": confidence, "inclusion": included, "coverage": coverage, "orphans": rows - covered, "normalizations": [] if c.chain == "exact" else [c.chain], "viaPath": [], "sampleSize": None, "limitations": LIMITS[c.chain],
+            "explanation": f"{coverage:.0%} of the rows of {child.source} with a {child.name} find it in {parent.source}.{parent.name}{SAID[c.chain]}.", "userDecision": "pending", "userComment": None, "evidence": [{"label": "coverage", "sql": sql, "result": {"rows": rows, "covered": covered}, "totalRows": rows}],
         })
     kept = [r for group in out.values() for r in sorted(group, key=lambda r: -r["score"])[:KEPT]]
     for i, r in enumerate(kept):

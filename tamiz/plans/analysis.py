@@ -6,8 +6,10 @@ import datetime as dt
 import json
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -17,9 +19,16 @@ from tamiz.operators.profile import frequencies, profile
 from tamiz.sources.files import Source, read_folder, register
 
 VERSION, SCORING = "1.0.0", "1.0.0"
+TABLES_AT_ONCE = 4
 LISTS = ("sources", "profiles", "keys", "relationships", "findings", "joinPredictions", "bridgeProposals", "stages")
 
 
+def at_once(f: Callable, items) -> list:
+    """f of each item, in order; the jobs of several tables run beside each other."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(f), items))
+
+
 def validate(report: dict) -> dict:
     """ValueError unless the report keeps its contract."""
     if missing := [k for k in LISTS if k not in report]:
@@ -47,18 +56,17 @@ def analyze(spark: SparkSession, sources: list[Source] | dict[str, DataFrame] |
         report["sources"] = [{"id": s.id, "name": s.name, "rowCount": s.rows, "warnings": s.warnings, "origin": {"kind": s.origin, "sheet": s.sheet, "contentHash": s.content_hash, "headerRow": s.header_row, "discardedRows": s.discarded}} for s in found]
 
     def profiles() -> None:
-        parts = []
-        for s in state["sources"]:
-            freq = frequencies(s.df).persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(freq)
-            state["profiles"][s.id] = profile(s.id, s.df, freq)
-            parts.append(freq.withColumn("source", F.lit(s.id)))
+        freqs = [frequencies(s.df).persist(StorageLevel.MEMORY_AND_DISK) for s in state["sources"]]
+        held.extend(freqs)
+        state["profiles"] |= dict(at_once(lambda x: (x[0].id, profile(x[0].id, x[0].df, x[1])), zip(state["sources"], freqs, strict=True)))
+        parts = [freq.withColumn("source", F.lit(s.id)) for s, freq in zip(state["sources"], freqs, strict=True)]
         state["freq"] = reduce(DataFrame.unionByName, parts) if parts else None
         report["profiles"] = [c.published() for cs in state["profiles"].values() for c in cs]
 
     def find_keys() -> None:
-        for s in state["sources"]:
-            if s.id in state["profiles"] and (k := keys.find_key(s.df, state["profiles"][s.id])):
+        able = [s for s in state["sources"] if s.id in state["profiles"]]
+        for s, k in zip(able, at_once(lambda s: keys.find_key(s.df, state["profiles"][s.id]), able), strict=True):
+            if k:
                 state["keys"][s.id] = k
                 report["keys"].append(k)
 
@@ -67,17 +75,20 @@ def analyze(spark: SparkSession, sources: list[Source] | dict[str, DataFrame] |
             report["relationships"] = relationships.discover(state["freq"], state["profiles"])
 
     def bridge() -> None:
-        for s in state["sources"]:
-            report["bridgeProposals"] += bridges.find_bridges(s.id, s.df, state["profiles"][s.id], state["keys"].get(s.id))
+        for found in at_once(lambda s: bridges.find_bridges(s.id, s.df, state["profiles"][s.id], state["keys"].get(s.id)), state["sources"]):
+            report["bridgeProposals"] += found
         for i, b in enumerate(report["bridgeProposals"]):
             b["id"] = f"bridge_{i + 1}"
 
     def judge() -> None:
         out = quality.from_others(report["bridgeProposals"], report["relationships"])
-        for s in state["sources"]:
-            cs = state["profiles"][s.id]
-            freq = state["freq"].where(F.col("source") == s.id)
-            out += quality.near_duplicates(s.id, cs, freq) + quality.ghost_columns(s.id, cs) + quality.mirror_columns(s.id, s.df, cs) + quality.redundant_copies(s.id, s.df, cs, state["keys"].get(s.id)) + quality.from_profiles(s.id, cs)
+
+        def of(s: Source) -> list[dict]:
+            cs, freq = state["profiles"][s.id], state["freq"].where(F.col("source") == s.id)
+            return quality.near_duplicates(s.id, cs, freq) + quality.ghost_columns(s.id, cs) + quality.mirror_columns(s.id, s.df, cs) + quality.redundant_copies(s.id, s.df, cs, state["keys"].get(s.id)) + quality.from_profiles(s.id, cs)
+
+        for found in at_once(of, state["sources"]):
+            out += found
         report["findings"] = [{"id": f"finding_{i + 1}"} | f for i, f in enumerate(out)]
         for f in report["findings"]:
             if say:
@@ -128,7 +139,7 @@ def prediction_for(report: dict, a: str, b: str) -> dict | None:
 def execute_join(spark: SparkSession, report: dict, join_id: str, path: str | None = None) -> DataFrame | int:
     j = next(j for j in report["joinPredictions"] if j["id"] == join_id)
     k = j["keys"][0]
-    df = joins.left_join(spark.table(j["leftSourceId"]), spark.table(j["rightSourceId"]), k["left"], k["right"], j["normalizations"][0])
+    df = joins.left_join(spark.table(j["leftSourceId"]), spark.table(j["rightSourceId"]), k["left"], k["right"], (j["normalizations"] or ["exact"])[0])
     return df if path is None else joins.export_csv(df, path, single_file=True)
 
 
