@@ -24,8 +24,10 @@ SYMBOLS = "#*$%&|<>"
 BITS = 6
 LEAST = 50
 REACH = 4
-#: Rates and the smallest spread that counts, so that a group of equal documents is not cut to a point.
-RATES = {"word_length": 100, "symbols": 20, "dup_lines": 100, "repeats": 150}
+#: Rates and the smallest spread that counts, so that a group of equal documents is not cut to a point.  REACH times a
+#: spread must leave a fence within what the rate can be: 1.6 code points a word, 80 symbols, 100 repeated lines and 400
+#: repeated words in 1000 (the base rule takes 500) beyond a quartile, a multiple of the noise of texts of 50 words.
+RATES = {"word_length": 40, "symbols": 20, "dup_lines": 25, "repeats": 100}
 
 
 def word_array(text: Column) -> Column:
