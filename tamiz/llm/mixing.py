@@ -35,7 +35,7 @@ from tamiz.llm.shared import column_of, numbered, settle, workspace
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_ROUNDS = 3
-DP_WORDS, MOST_WORDS = 1 << 15, 1 << 26
+DP_WORDS, MOST_WORDS = 1 << 15, 1 << 22
 FINE = 10
 
 
