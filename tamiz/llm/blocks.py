@@ -24,7 +24,7 @@ BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 1 << 17
 #: A row's number is its block's, then its place in the block in so many bits.
 ROW_BITS = 20
-MOST_TASKS = 4096
+MOST_TASKS = 20_000
 MANIFEST = "block long, path string, batch int, docs long, bytes long"
 PACKET = "bucket long, block long, data binary"
 
@@ -127,7 +127,7 @@ def chosen_rows(manifest: DataFrame, chosen: DataFrame, docs: DataFrame) -> Data
 
 
 def spread(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The blocks dealt out evenly: a task per block, up to a few thousand tasks."""
+    """The blocks dealt out evenly: a task per block, up to MOST_TASKS; beyond that a task takes several, one after another."""
     n = manifest.count()
     return manifest.select("block", "path").repartition(max(1, min(n, MOST_TASKS)))
 

@@ -168,14 +168,17 @@ class LineStore:
 
 
 @lru_cache(64)
+def _bitmap(folder: str) -> np.ndarray:
+    """A bit per bucket: whether the run has a file for it.  A run's bitmap is written once."""
+    return np.frombuffer(get_bytes(f"{folder}/buckets"), np.uint8)
+
+
 def _index(folder: str, n: int) -> np.ndarray:
-    """Which buckets of a run have a file; a run's bitmap is written once."""
-    return np.unpackbits(np.frombuffer(get_bytes(f"{folder}/buckets"), np.uint8), count=n).view(bool)
+    return np.unpackbits(_bitmap(folder), count=n).view(bool)
 
 
 def load_run(folder: str, bucket: int) -> np.ndarray:
-    has = np.frombuffer(get_bytes(f"{folder}/buckets"), np.uint8)
-    if not has[bucket >> 3] >> (7 - (bucket & 7)) & 1:
+    if not _bitmap(folder)[bucket >> 3] >> (7 - (bucket & 7)) & 1:
         return np.empty((0, 2), np.uint64)
     return np.frombuffer(get_bytes(f"{folder}/{bucket}"), np.uint64).reshape(-1, 2)
 
