@@ -305,6 +305,17 @@ def test_quality_equals_sql(spark):
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (12, 14, 4, 1, 12)
 
 
+def test_quality_fences_can_be_reached(spark):
+    """One outlier of each rate among ordinary texts is rejected, and nothing else is."""
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(n))
+    plain = [" ".join(word(rng.randrange(3, 8)) for _ in range(120)) for _ in range(60)]
+    odd_ones = [" ".join(word(9) for _ in range(120)), " ".join(word(2) for _ in range(120)), plain[0] + " #" * 20, "\n".join(f"{'one line ' if k % 2 else ''}{word(5)} {word(5)}" if k % 3 else "one line" for k in range(90)), " ".join([*(word(5) for _ in range(66)), *(["x y z w v u t s"] * 6), word(5)])]
+    rows = [(k, t, "en", "s") for k, t in enumerate(plain + odd_ones)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(spark.createDataFrame(rows, DOCS + ", lang string, source string")).collect()}
+    assert not any(b for b, _ in got.values()) and {d for d, (_, k) in got.items() if not k} == set(range(60, 65))
+
+
 def test_warc(spark):
     rows = [(3, "u", "x" * 100), (1, "u", "x" * 100), (2, None, "x" * 99), (5, "u", "x" * 99), (None, "a\nb", "x" * 100), (7, "q", None), (1, "u", "x" * 100), (8, "é", "é" * 60), (9, "é", "é" * 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
