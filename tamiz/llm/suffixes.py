@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
         s = Suffixes(path, least)
         keys, place, count = s.ranked(s.at, s.prefix)
         hit = np.flatnonzero((B.bits_back(keys, n, got) | (count > 1))[place])
-        B.save_state(path, "samples", hit=hit)
+        B.save_state(path, "samples", hit=hit.astype(np.uint32))
         deep, length = deep_samples(s, hit)
         keys = np.unique(prints(s.block.data, s.at[deep], length))
         return pa.Table.from_batches([B.packets(block, keys, n, lambda k: keys[k].tobytes())])
@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
 
     def open_suffixes(s: Suffixes, path: str, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(mask of suffixes known to repeat, positions of the suffixes to sort)."""
-        hit = B.load_state(path, "samples")["hit"]
+        hit = B.load_state(path, "samples")["hit"].astype(np.int64)
         total = len(s.block.data)
         deep, length = deep_samples(s, hit)
         keys, place, count = s.ranked(s.at[deep], length)
@@ -181,8 +181,10 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
     def send_suffixes(block: int, path: str, got: dict[int, bytes]) -> pa.Table:
         s = Suffixes(path, least)
         known, left = open_suffixes(s, path, got)
-        tied = cover_mask(len(s.block.data), s.at[hit := B.load_state(path, "samples")["hit"]], s.at[hit] + s.prefix)
-        B.save_state(path, "known", known=np.packbits(known), left=left, tied=np.packbits(tied))
+        tied = cover_mask(len(s.block.data), s.at[hit := B.load_state(path, "samples")["hit"].astype(np.int64)], s.at[hit] + s.prefix)
+        open_ = np.zeros(len(known), bool)
+        open_[left] = True
+        B.save_state(path, "known", known=np.packbits(known), left=np.packbits(open_), tied=np.packbits(tied))
         keys = np.unique(prints(s.block.data, left, least))
         return pa.Table.from_batches([B.packets(block, keys, n, lambda k: keys[k].tobytes())])
 
@@ -191,7 +193,8 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
 
     def cut(block: int, path: str, got: dict[int, bytes]) -> pa.Table:
         texts, state = B.Block(path), B.load_state(path, "known")
-        total, left = len(texts.data), state["left"]
+        total = len(texts.data)
+        left = np.flatnonzero(np.unpackbits(state["left"], count=total))
         again = np.unpackbits(state["known"], count=total).view(bool)
         keys, place, count = np.unique(prints(texts.data, left, least), return_inverse=True, return_counts=True)
         again[left[(B.bits_back(keys, n, got) | (count > 1))[place]]] = True
