@@ -186,14 +186,24 @@ def at_blocks(blocks: DataFrame, replies: DataFrame, then: Callable[[int, str, d
     return head.unionByName(replies).repartition(tasks, "block").groupBy("block").applyInArrow(run, schema)
 
 
-def bits_back(keys: np.ndarray, n: int, got: dict[int, bytes]) -> np.ndarray:
-    """Replies of packed bits, put back in the order of the sorted keys."""
-    cut, out = np.searchsorted(bucket_of(keys, n), np.arange(n + 1, dtype=np.uint64)), np.zeros(len(keys), bool)
+def cuts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where the buckets' parts of sorted keys begin."""
+    return np.searchsorted(bucket_of(keys, n), np.arange(n + 1, dtype=np.uint64))
+
+
+def bits_at(cut: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
+    """Replies of packed bits, put back in the order of the keys that were cut so."""
+    out = np.zeros(int(cut[-1]), bool)
     for k, data in got.items():
         out[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(cut[k + 1] - cut[k])).view(bool)
     return out
 
 
+def bits_back(keys: np.ndarray, n: int, got: dict[int, bytes]) -> np.ndarray:
+    """Replies of packed bits, put back in the order of the sorted keys."""
+    return bits_at(cuts(keys, n), got)
+
+
 def shared_between(parts: list[np.ndarray]) -> list[np.ndarray]:
     """For arrays of distinct keys: which keys also stand in another array."""
     keys = np.concatenate(parts)
