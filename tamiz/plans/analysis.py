@@ -25,8 +25,9 @@ LISTS = ("sources", "profiles", "keys", "relationships", "findings", "joinPredic
 
 def at_once(f: Callable, items) -> list:
     """f of each item, in order; the jobs of several tables run beside each other."""
+    session = SparkSession.getActiveSession()
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(f), items))
+        return list(pool.map(inheritable_thread_target(session)(f) if session else f, items))
 
 
 def validate(report: dict) -> dict:
