@@ -233,12 +233,19 @@ def load_state(path: str, name: str) -> dict[str, np.ndarray]:
     return out
 
 
-def remove(uri: str) -> None:
-    fs, path = filesystem(uri)
-    try:
-        fs.delete_dir(path)
-    except FileNotFoundError:
-        pass
+def drop_states(spark: SparkSession, manifest: DataFrame, *names: str) -> None:
+    """Remove states that no later step reads; the tables made from them must be written by then."""
+
+    def drop(block: int, path: str) -> Iterator[pa.RecordBatch]:
+        for name in names:
+            fs, file = filesystem(f"{path}.{name}")
+            try:
+                fs.delete_file(file)
+            except FileNotFoundError:  # an earlier attempt of this task removed it
+                pass
+        yield pa.RecordBatch.from_pydict({"block": [block]})
+
+    from_blocks(spread(spark, manifest), drop, "block long").agg(F.count("*")).collect()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
