@@ -73,13 +73,13 @@ def parities(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def same_sets(manifest: DataFrame, spark, root: str, width: int, size: int) -> DataFrame:
-    """Join equal sets; every block learns the node (first row) and smallest doc_id of its rows' sets."""
+def same_sets(manifest: DataFrame, spark, root: str, width: int, size: int, sets_of=shingle_sets) -> DataFrame:
+    """Join equal sets, or what ``sets_of`` tells of the texts; every block learns the node (first row) and smallest doc_id of its rows' sets."""
     n = B.buckets_for(size / 200, 1 << 18)
 
     def emit(block: int, path: str):
         texts = B.Block(path)
-        sets = shingle_sets(texts, width)
+        sets = sets_of(texts, width)
         key = set_keys(sets)
         some = np.flatnonzero(np.array([len(s) > 0 for s in sets], bool)) if sets else np.zeros(0, np.int64)
         ids = np.where(texts.null_id, LAST, texts.doc_id)

@@ -1,26 +1,27 @@
 """Near-duplicate passages by compact windows.
 
-Each text is a sequence of word shingles.  Under a hash function, the Cartesian tree over the shingles' hash values cuts
-the text into compact windows (l, c, r): every subsequence within l..r that holds c has the shingle at c as its min-hash.
-Only windows of at least ``least`` shingles are built, for ``HASHES`` functions.  Passages that are alike share min-hashes, so
-
-1. equal sets of shingles are joined first, one text goes on for all its copies; a window lives on if another text has a
-   window of the same function and min-hash, and if the live windows of ``ENOUGH`` functions meet in it: their intervals are
-   joined, and some run of ``least`` places must lie in all of them.  (A passage lies in every window whose min-hash it has.)
-   An exchange of the shingles of such windows then leaves only those where as many shingles as a passage must share
-   stand in other texts, near enough to each other;
-2. live windows of the same function and min-hash form a list.  Each list names two texts by hash order, its pivots.  A text
-   meets the pivot that most of its windows name; windows inside a passage found there are done.  Those that aren't meet
-   their lists' pivots, and those that still aren't done meet every text that has two of their min-hashes, of different
-   functions, at the same distance, done or not.  Links join texts to classes, and only texts of different classes meet, so
-   a passage that very many share costs their number, not its square; texts only meet where their windows, laid on each other at their min-hashes,
-   have ``least`` places in common, up to a fifth, which words put in or left out may shift;
-3. only the shingles of those intervals are sent, to the block of the other text, and verified: passages of at least
-   ``least`` shingles that agree, in a band around the alignment, to a similarity of ``percent`` or more.  Where there is
-   none, what agrees is chained over all alignments nearby, so that a passage with words inserted or deleted is judged as one.
-
-Being a min-hash search it can miss passages near the limit of similarity (README has the recall measured against brute
-force); verbatim passages share all min-hashes.
+Each text is a sequence of word shingles.  The Cartesian tree over the hash values of grams (runs of shingles) cuts the text
+into compact windows (l, c, r): every subsequence within l..r that holds c has the gram at c as its min-hash.  A passage of
+the similarity has a run of ``least_run`` shingles word for word (21 of 46, at 80 percent), as every edit loses shingles
+of both texts.  Windows of that run are built, so both texts have one around its min-hash, and no passage is missed:
+
+1. equal texts are joined first, one goes on for all its copies; a window lives on if another text has a window of the same
+   min-hash.  An exchange of the shingles around such windows then leaves only those where as many shingles as a passage
+   must share stand in other texts, near enough to each other;
+2. live windows of the same min-hash form a list.  Each list names two texts by hash order, its pivots.  A text meets the
+   pivot that most of its windows name; windows inside a passage found there are done, and those that aren't meet their
+   lists' pivots, where the windows, laid on each other at their min-hashes, have that run in common.  Only the shingles of
+   those intervals are sent, to the block of the other text, and verified: passages of at least ``least`` shingles that
+   agree, in a band around the alignment, to a similarity of ``percent`` or more.  Where there is none, what agrees is
+   chained over all alignments nearby, so that a passage with words inserted or deleted is judged as one;
+3. links join texts to classes.  In a list that still has several classes all its texts meet, done or not, as what stands
+   around their windows: those that share a long run, or a shingle beyond a place where they differ, are verified, until
+   they are of one class.  So a passage that very many share costs their number, not its square, nor does a shorter line
+   that stands in very many texts; texts that stay apart are compared with those of the list that share more than the run.
+
+The classes are those of all pairs; of the passages inside a class not every one is listed.  Shingles are compared by 32
+bits of their hashes.  What repeats itself within some words can have other min-hash places in another text; one word over
+and over is laid by the ends of the stretch.
 
 Defined cases: null text has no passage; a text of fewer words has none; passages inside one text are not sought; equal rows
 and rows that share an id are rows of their own; a very long text is a block of its own, with 14 bytes a window and 8 a shingle
@@ -39,13 +40,15 @@ from pyspark.sql import functions as F
 from tamiz.llm import blocks as B
 from tamiz.llm.jaccard import same_sets
 from tamiz.llm.shared import id_and_text, settle, workspace
-from tamiz.llm.shingles import merged, shingle_hashes, word_hashes
+from tamiz.llm.shingles import merged, shingle_hashes, word_hashes, word_sequences
 
-WIDTH, PERCENT, WORDS, HASHES, ENOUGH = 5, 80, 50, 6, 2
+WIDTH, PERCENT, WORDS = 5, 80, 50
 BAND = 3
 #: Pairs that a task verifies at once against one block.
 PAIRS = 1024
-WINDOWS = "sig long, hash int, node long, at int, l int, r int"
+#: Windows of a block whose surroundings one task cuts out, and of lists that one task compares, at most or so; places compared at once.
+CUTS, MEMBERS, ENTRIES = 1 << 15, 1 << 14, 1 << 22
+WINDOWS = "sig long, node long, at int, l int, r int"
 PASSAGE = "a long, a_start long, a_end long, b long, b_start long, b_end long"
 
 
@@ -165,14 +168,54 @@ def joined_runs(a: np.ndarray, b: np.ndarray, shifts: list[int], found: list[tup
     return sorted(out)
 
 
-def hashed(h: np.ndarray, j: int) -> np.ndarray:
-    """Values of the j-th function."""
-    return B.mix64(h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF))
+def least_run(least: int, percent: int) -> int:
+    """Shingles that every passage has in one run, word for word.
+
+    Between two runs of equal shingles a word was replaced (WIDTH shingles of either text are lost), put in or left out
+    (WIDTH of one, WIDTH - 1 of the other), so the similarity bounds the number of such gaps.
+    """
+    need, lost = -(-2 * percent * least // (100 + percent)), 2 * WIDTH - 1
+    runs = [-(-need // (gaps + 1)) for gaps in range((least - need) // (WIDTH - 1) + 1)]
+    if percent < 100:  # (100 - percent) * hits >= percent * lost shingles
+        runs += [-(-max(need, -(-percent * lost * gaps // (100 - percent))) // (gaps + 1)) for gaps in range(1, need)]
+    return max(1, min(runs))
+
+
+def core_run(least: int, percent: int) -> int:
+    """Shingles of that run without its ends, whose neighbours are the same in both texts too."""
+    return max(1, least_run(least, percent) - 2)
+
+
+def grams(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` shingles one after another."""
+    m = max(0, len(h) - width + 1)
+    out = np.zeros(m, np.uint64)
+    for k in range(width):
+        out += h[k : k + m] * B.mix64(np.uint64([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF]))
+    return B.mix64(out)
 
 
-def signature(h: np.ndarray, j: int) -> np.ndarray:
-    """Keys of windows of the j-th function with these shingles at their centre."""
-    return B.mix64(hashed(h, j) + np.uint64(j))
+def gram_windows(g: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows of each range; a stretch of equal grams (one word over and over) has its two ends as centres only.
+
+    Two texts with such a stretch are laid on each other by its ends, or anyhow if the passage lies inside both.
+    """
+    inside = np.zeros(len(g) + 1, bool)  # places that have a place of their range before them
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        inside[a + 1 : b] = True
+    before = inside[:-1] & np.concatenate([[False], g[1:] == g[:-1]])[: len(g)]
+    after = np.append(before[1:], False)[: len(g)]
+    lo, c, hi = compact_windows(np.where(before & after, ~np.uint64(0), g), start, end, least)
+    on = ~(before & after)[c]
+    first, last = np.flatnonzero(after & ~before), np.flatnonzero(before & ~after)
+    long = last - first + 1 >= least
+    first, last = first[long], last[long]
+    return np.concatenate([lo[on], first, first]), np.concatenate([c[on], first, last]), np.concatenate([hi[on], last, last])
+
+
+def signature(g: np.ndarray) -> np.ndarray:
+    """Keys of windows with these grams at their centre, spread evenly."""
+    return B.mix64(g + np.uint64(1))
 
 
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -183,26 +226,17 @@ def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def met_by_enough(lo: np.ndarray, hi: np.ndarray, kind: np.ndarray, n: int, least: int) -> np.ndarray:
-    """Which windows lo..hi hold a run of ``least`` places that windows of ENOUGH functions hold; n: number of places."""
-    functions = np.zeros(n + 1, np.int8)
-    for j in range(HASHES):
-        on = kind == j
-        step = np.zeros(n + 2, np.int32)  # over the first places of such runs
-        np.add.at(step, lo[on], 1)
-        np.add.at(step, hi[on] - least + 2, -1)
-        functions += np.cumsum(step[: n + 1]) > 0
-    some = np.concatenate([[0], np.cumsum(functions >= ENOUGH)])
-    return some[hi - least + 2] > some[lo]
-
-
 def _live_windows(manifest: DataFrame, spark, root: str, size: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members, windows): each row's node, and the windows that may belong to a passage that two texts have."""
     least = words - WIDTH + 1
     need = -(-2 * percent * least // (100 + percent))
-    span = 100 * need // percent
-    reps, n_sets = same_sets(manifest, spark, root, WIDTH, size)
-    n = B.buckets_for(size / 24, 1 << 20)
+    # Places that hold ``need`` shingles of a passage beside its longest run: a passage in which no smaller one
+    # lies has under 2 * least of them, which bounds those that are lost.
+    span = need + 2 * least * (100 - percent) // max(1, percent) - (WIDTH - 1)
+    run = core_run(least, percent)
+    width = (run + 1) // 2
+    reps, n_sets = same_sets(manifest, spark, root, WIDTH, size, word_sequences)
+    n = B.buckets_for(size / 32, 1 << 20)
 
     def shingles_of(path: str, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """(shingles, first shingle of each row, rows, words of every text) of those of the rows that are long enough."""
@@ -226,20 +260,15 @@ def _live_windows(manifest: DataFrame, spark, root: str, size: int, words: int,
         placed = s["place"] >= 0
         h, start, rows, n_words = shingles_of(path, rows)
         B.save_state(path, "nodes", node=np.where(placed, node[s["place"]], -1) if len(node) else np.full(len(placed), -1), n_words=n_words, rows=rows)
-        sig, kind, lo, c, hi = [], [], [], [], []
-        for j in range(HASHES):
-            a, at, b = compact_windows(hashed(h, j), start[:-1], start[1:], least)
-            sig.append(signature(h[at], j))
-            for x, y in ((kind, np.full(len(at), j, np.int8)), (lo, a), (c, at), (hi, b)):
-                x.append(y)
-        sig, kind, lo, c, hi = map(np.concatenate, (sig, kind, lo, c, hi))
-        keys, place = np.unique(sig, return_inverse=True)
+        g = grams(h, width)
+        lo, c, hi = gram_windows(g, start[:-1], start[1:] - width + 1, run - width + 1)
+        keys, place = np.unique(signature(g[c]), return_inverse=True)
         owner = np.searchsorted(start, c, "right") - 1
         first = np.full(len(keys), -1)
         first[place] = owner
         twice = np.zeros(len(keys), bool)
         twice[place[owner != first[place]]] = True  # another text of this block has it
-        B.save_state(path, "windows", kind=kind, lo=lo.astype(np.int32), c=c.astype(np.int32), hi=hi.astype(np.int32), twice=twice)
+        B.save_state(path, "windows", lo=lo.astype(np.int32), c=c.astype(np.int32), hi=(hi + width - 1).astype(np.int32), twice=twice)
         return pa.Table.from_batches([B.packets(block, keys, n, lambda k: keys[k].astype(np.uint32).tobytes())])
 
     def meet(bucket: int, sent: list[bytes]) -> list[bytes | None]:
@@ -248,16 +277,12 @@ def _live_windows(manifest: DataFrame, spark, root: str, size: int, words: int,
     def send_shingles(block: int, path: str, got: dict[int, bytes]) -> pa.Table:
         s = B.load_state(path, "windows")
         h, start, rows, _ = shingles_of(path, B.load_state(path, "nodes")["rows"])
-        sig = np.empty(len(s["c"]), np.uint64)
-        for j in range(HASHES):
-            on = s["kind"] == j
-            sig[on] = signature(h[s["c"][on]], j)
+        sig = signature(grams(h, width)[s["c"]])
         keys, place = np.unique(sig, return_inverse=True)
         live = np.flatnonzero((B.bits_back(keys, n, got) | s["twice"])[place])  # another text has it too
         lo, hi = s["lo"][live].astype(np.int64), s["hi"][live].astype(np.int64)
-        on = met_by_enough(lo, hi, s["kind"][live], len(h), least)
-        live, lo, hi = live[on], lo[on], hi[on]
-        inside = cover(len(h), lo, hi + 1)
+        owner = np.searchsorted(start, lo, "right") - 1
+        inside = cover(len(h), np.maximum(lo - (span - run), start[owner]), np.minimum(hi + 1 + span - run, start[owner + 1]))
         at = np.flatnonzero(inside)
         keys, place = np.unique(h[at], return_inverse=True)
         owner = np.searchsorted(start, at, "right") - 1
@@ -284,10 +309,10 @@ def _live_windows(manifest: DataFrame, spark, root: str, size: int, words: int,
         some = np.concatenate([[0], np.cumsum(good)])
         lo, hi = s["lo"][live].astype(np.int64), s["hi"][live].astype(np.int64)
         owner = np.searchsorted(start, lo, "right") - 1
-        on = some[hi - least + 2] > some[np.maximum(lo - (span - least), start[owner])]
+        on = some[hi - run + 2] > some[np.maximum(lo - (span - run), start[owner])]
         live, lo, hi, owner = live[on], lo[on], hi[on], owner[on]
         place = lambda x: (x - start[owner]).astype(np.int32)
-        return pa.table({"sig": u["sig"][on].view(np.int64), "hash": s["kind"][live].astype(np.int32), "node": (block << B.ROW_BITS) + u["rows"][owner], "at": place(s["c"][live].astype(np.int64)), "l": place(lo), "r": place(hi)})
+        return pa.table({"sig": u["sig"][on].view(np.int64), "node": (block << B.ROW_BITS) + u["rows"][owner], "at": place(s["c"][live].astype(np.int64)), "l": place(lo), "r": place(hi)})
 
     def members(block: int, path: str):
         b, s = B.Block(path), B.load_state(path, "nodes")
@@ -300,10 +325,10 @@ def _live_windows(manifest: DataFrame, spark, root: str, size: int, words: int,
     return B.from_blocks(B.spread(spark, manifest), members, "doc_id long, n_words long, node long"), found
 
 
-def _at_texts(rows: DataFrame, node: str, root: str, then, schema: str) -> DataFrame:
-    """``then(rows, shingles of a node)`` where the texts of the rows' nodes are, PAIRS rows of a block in a task at most or so."""
+def _at_texts(rows: DataFrame, node: str, root: str, then, schema: str, most: int = PAIRS) -> DataFrame:
+    """``then(rows, shingles of a node)`` where the texts of the rows' nodes are, ``most`` rows of a block in a task at most or so."""
     keyed = rows.withColumn("block", F.shiftright(node, B.ROW_BITS))
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("m")).select("block", F.ceil(F.col("m") / PAIRS).alias("m"))
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("m")).select("block", F.ceil(F.col("m") / most).alias("m"))
 
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
@@ -315,7 +340,7 @@ def _at_texts(rows: DataFrame, node: str, root: str, then, schema: str) -> DataF
 
         return then(t, text)
 
-    salted = keyed.join(sizes, "block").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("m"))).drop("m")
+    salted = keyed.join(sizes, "block").withColumn("salt", F.pmod(F.xxhash64(*rows.columns[:2]), F.col("m"))).drop("m")
     return salted.groupBy("block", "salt").applyInArrow(run, schema)
 
 
@@ -342,37 +367,151 @@ def _verify(pairs: DataFrame, root: str, least: int, percent: int) -> DataFrame:
     return _at_texts(sent, "b", root, look, PASSAGE)
 
 
-def _aligned(rows: DataFrame, least: int) -> DataFrame:
+def _aligned(rows: DataFrame, run: int) -> DataFrame:
     """Windows laid on each other (node, at, l, r, pivot, pat, pl, pr) as pairs (a, b, shifts, s, e), a the node."""
     shift = F.col("at") - F.col("pat")
     rows = rows.select(F.col("node").alias("a"), F.col("pivot").alias("b"), shift.alias("shift"), F.greatest("l", F.col("pl") + shift).alias("s"), F.least("r", F.col("pr") + shift).alias("e"))
-    rows = rows.where(F.col("e") - F.col("s") + 1 >= least - least // 5)
+    rows = rows.where(F.col("e") - F.col("s") + 1 >= run)
     return rows.groupBy("a", "b").agg(F.sort_array(F.collect_set("shift")).alias("shifts"), F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("windows"))
 
 
-def _two_functions(windows: DataFrame, least: int) -> DataFrame:
-    """Pairs of windows of two functions with ``least`` places in common, keyed by both min-hashes and their distance; open if one is."""
+def candidates(x: np.ndarray, of: np.ndarray, comp: np.ndarray, need: int):
+    """Groups of rows of a list that may have a passage around their windows' centres, the middle of ``x``.
 
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("at").to_numpy(), kind="stable")
-        at, lo, hi, kind, sig, open_ = (t.column(c).to_numpy()[order] for c in ("at", "l", "r", "hash", "sig", "open"))
-        at, open_ = at.astype(np.int64), open_.astype(bool)
-        out: dict[str, list] = {k: [] for k in ("sig", "at", "l", "r", "open")}
-        far, step = np.searchsorted(at, at + least), 1
-        while (k := np.flatnonzero(np.arange(len(at)) + step < far)).size:
-            k = k[(kind[k] != kind[k + step]) & (np.minimum(hi[k], hi[k + step]) - np.maximum(lo[k], lo[k + step]) + 1 >= least)]
-            d = (at[k + step] - at[k]).astype(np.uint64)
-            out["sig"].append(B.mix64(B.mix64(sig[k].view(np.uint64) + d) ^ sig[k + step].view(np.uint64)).view(np.int64))
-            out["at"].append(at[k].astype(np.int32))
-            out["l"].append(np.maximum(lo[k], lo[k + step]))
-            out["r"].append(np.minimum(hi[k], hi[k + step]))
-            out["open"].append(open_[k] | open_[k + step])
-            step += 1
-        kinds = {"sig": np.int64, "at": np.int32, "l": np.int32, "r": np.int32, "open": bool}
-        got = {k: np.concatenate([*x, np.zeros(0, kinds[k])]).astype(kinds[k]) for k, x in out.items()}
-        return pa.table(got | {"node": np.full(len(got["sig"]), t.column("node")[0].as_py(), np.int64)}).select(["sig", "node", "at", "l", "r", "open"])
-
-    return windows.groupBy("node").applyInArrow(run, "sig long, node long, at int, l int, r int, open boolean")
+    x: shingles around the centres, a row each, where there is none a value that no other row has; of: the rows' lists;
+    comp: their classes.  Yields (rows, kind of each): every two rows of a group that differ in kind may have one; all
+    kinds are -1 where all of the group have one, word for word.  A passage around a centre either has ``need`` shingles
+    in one run, or a shingle beyond a place where the texts differ.
+    """
+    middle, places = x.shape[1] // 2, np.arange(x.shape[1], dtype=np.uint64)
+    value = B.mix64(x)
+    weighed = value * B.mix64(places + np.uint64(1))
+
+    def groups(key: np.ndarray, row: np.ndarray, kind: np.ndarray | None):
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        end = np.append(first, len(key))[1:]
+        c = comp[row]
+        differ = np.minimum.reduceat(c, first) < np.maximum.reduceat(c, first) if len(key) else np.zeros(0, bool)
+        if kind is not None and len(key):
+            kind = kind[order]
+            differ &= np.minimum.reduceat(kind, first) < np.maximum.reduceat(kind, first)
+        for s, e in zip(first[differ].tolist(), end[differ].tolist(), strict=True):
+            yield row[s:e], np.full(e - s, -1) if kind is None else kind[s:e]
+
+    # The hash of a run, whatever its place, from running sums with powers of an odd number.
+    base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    power = np.array([pow(base, k, 1 << 64) for k in range(x.shape[1])], np.uint64)
+    total = np.concatenate([np.zeros((len(x), 1), np.uint64), np.cumsum(value * power, axis=1, dtype=np.uint64)], axis=1)
+    lists = B.mix64(of.astype(np.uint64) + np.uint64(1))
+    for s in range(max(0, middle - need + 1), min(middle, x.shape[1] - need) + 1):
+        yield from groups(B.mix64((total[:, s + need] - total[:, s]) * np.uint64(pow(back, s, 1 << 64))) ^ lists, np.arange(len(x)), None)
+    # What stands between the centre and a shingle, that included; it is the same where the texts agree up to there.
+    reach = np.concatenate([np.cumsum(weighed[:, middle::-1], axis=1, dtype=np.uint64)[:, ::-1], np.cumsum(weighed[:, middle + 1 :], axis=1, dtype=np.uint64)], axis=1)
+    # Of a stretch of equal shingles its first is enough; the centre's own stands for passages inside it.
+    same = x[:, 1:] == x[:, :-1]
+    some = np.concatenate([~same[:, :middle], np.zeros((len(x), 1), bool), ~same[:, middle:]], axis=1)
+    some[:, middle] = np.cumprod(same[:, middle:], axis=1).sum(1) + np.cumprod(same[:, :middle][:, ::-1], axis=1).sum(1) + 1 >= need
+    row, place = np.nonzero(some)
+    key, reach = value[row, place] ^ lists[row], reach[row, place]
+    parts = -(-len(key) // ENTRIES)
+    part = (key >> np.uint64(40)) % np.uint64(max(1, parts))
+    for k in range(parts):
+        on = np.flatnonzero(part == k)
+        yield from groups(key[on], row[on], reach[on])
+
+
+def may_agree(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Which rows of x may have a passage with y: bounds of what ``shared_runs`` and ``joined_runs`` ask for, for all rows at once."""
+    need = -(-2 * percent * least // (100 + percent))
+    out = np.zeros(len(x), bool)
+    wide, band = x.shape[1], np.pad(y, BAND, constant_values=~np.uint64(0))
+    ours, theirs = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    for e in range(2 * BAND + 1):
+        same = x == band[e : e + wide]
+        ours |= same
+        lo, hi = max(0, e - BAND), min(wide, wide + e - BAND)  # the same places of y
+        theirs[:, lo:hi] |= same[:, lo - (e - BAND) : hi - (e - BAND)]
+    for hit in (ours, theirs):
+        run = np.concatenate([np.zeros((len(x), 1), np.int32), np.cumsum(hit, axis=1, dtype=np.int32)], axis=1)
+        out |= (run[:, least:] - run[:, :-least] >= need).any(1)
+    # Chained hits: ``need`` of them, and ``percent`` of the places, so some 100 * need / percent places or more hold that share.
+    run = np.concatenate([np.zeros((len(x), 1), np.int32), np.cumsum(np.isin(x, y), axis=1, dtype=np.int32)], axis=1)
+    gain, span = 100 * run - percent * np.arange(wide + 1), min(wide, 100 * need // percent)
+    return out | (gain[:, span:] >= np.minimum.accumulate(gain, axis=1)[:, : wide + 1 - span]).any(1)
+
+
+def _meet_lists(rows: DataFrame, root: str, least: int, percent: int) -> DataFrame:
+    """Passages that join classes, between the texts of each list; rows: sig, node, at, comp.
+
+    Texts are brought together as what stands around their windows, and compared where they may have a passage, until
+    they are of one class; so a list yields no more passages than it has texts.
+    """
+    need, wide = -(-2 * percent * least // (100 + percent)), 2 * least
+
+    def cut(t: pa.Table, text) -> pa.Table:
+        x, first = [], []
+        for node, at in zip(t.column("node").to_pylist(), t.column("at").to_pylist(), strict=True):
+            first.append(max(0, at - wide))
+            x.append(text(node)[first[-1] : at + wide + 1].tobytes())
+        return t.select(["sig", "node", "comp", "at"]).append_column("first", pa.array(first, pa.int32())).append_column("x", pa.array(x, pa.binary()))
+
+    def meet(t: pa.Table) -> pa.Table:
+        sig, node, comp, at, first = (t.column(c).to_numpy() for c in ("sig", "node", "comp", "at", "first"))
+        x = t.column("x").to_pylist()
+        # Of rows of one class that look the same one is enough.
+        once = list({(s, c, v): i for i, (s, c, v) in enumerate(zip(sig.tolist(), comp.tolist(), x, strict=True))}.values())
+        once.sort(key=sig.__getitem__)
+        of = np.unique(sig[once], return_inverse=True)[1]
+        size_of = np.bincount(of)
+        comp, node, at, first = comp[once], node[once].tolist(), at[once].tolist(), first[once].tolist()
+        text = [np.frombuffer(x[i], np.uint32) for i in once]
+        full = (np.arange(len(once) * (2 * wide + 1), dtype=np.uint64) + np.uint64(1 << 32)).reshape(len(once), -1)
+        for i, v in enumerate(text):
+            k = first[i] - at[i] + wide
+            full[i, k : k + len(v)] = v
+        names, comp = np.unique(comp, return_inverse=True)
+        up = np.arange(len(names)).tolist()
+
+        def top(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        out, klass, base = [], comp.tolist(), np.searchsorted(of, of)
+        tried: dict[int, np.ndarray] = {}
+        for group, kind in candidates(full, of, comp, need):
+            tops = np.array([top(klass[i]) for i in group.tolist()])
+            classes, counts = np.unique(tops, return_counts=True)
+            if len(classes) < 2:
+                continue
+            if kind[0] == -1:
+                turns = [(0, np.arange(1, len(group)))]
+            else:
+                turns = ((n, np.flatnonzero(kind != kind[n])) for n in np.flatnonzero(tops != classes[counts.argmax()]).tolist())
+            for n, others in turns:
+                i = int(group[n])
+                done = tried.setdefault(i, np.zeros(size_of[of[i]], bool))
+                others = group[others[tops[others] != tops[n]]]
+                others = others[~done[others - base[i]]]
+                for at_once in np.array_split(others, -(-len(others) // 1024)) if len(others) else []:
+                    done[at_once - base[i]] = True
+                    for j in at_once[may_agree(full[at_once], full[i], least, percent)].tolist():
+                        if top(klass[i]) == top(klass[j]):
+                            continue
+                        shift = (at[i] - first[i]) - (at[j] - first[j])
+                        there, back = (text[i], text[j], [shift]), (text[j], text[i], [-shift])
+                        runs = shared_runs(*there, least, percent) or [(*r[2:], *r[:2]) for r in shared_runs(*back, least, percent)] or joined_runs(*there, [], least, percent)
+                        for r in runs:
+                            out.append((node[i], r[0] + first[i], r[1] + first[i], node[j], r[2] + first[j], r[3] + first[j]))
+                            up[top(klass[i])] = top(klass[j])
+        names = ("a", "a_start", "a_end", "b", "b_start", "b_end")
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(names, zip(*out, strict=True) if out else [[]] * 6, strict=True)})
+
+    n = max(1, -(-rows.count() // MEMBERS))
+    around = _at_texts(rows.select("sig", "node", "at", "comp"), "node", root, cut, "sig long, node long, comp long, at int, first int, x binary", CUTS)
+    return around.withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(n))).repartition(min(n, B.MOST_TASKS), "task").groupBy("task").applyInArrow(lambda t: meet(t.drop(["task"])), PASSAGE)
 
 
 def _open_windows(windows: DataFrame, links: DataFrame) -> DataFrame:
@@ -389,6 +528,7 @@ def passage_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     """(members, links, classes): every row's node, verified passages between the nodes' texts, and the class (node, comp) of these."""
     docs = id_and_text(docs)
     spark, root, least = docs.sparkSession, workspace(docs.sparkSession, "passages"), words - WIDTH + 1
+    run = core_run(least, percent)
     manifest = B.write_blocks(docs, root)
     size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     members, windows = _live_windows(manifest, spark, root, size, words, percent)
@@ -419,27 +559,21 @@ def passage_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         had = pairs.select("a", "b", F.col("shifts").alias("had"))
         tried = had if tried is None else tried.unionByName(had).groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("had"))).alias("had"))
 
-    def still_open(name: str) -> DataFrame:
-        """The windows of lists that have texts of several classes, and whether they lie outside of all passages found."""
+    def undecided() -> DataFrame:
+        """The windows of lists that have texts of several classes."""
         now = live.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = now.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
-        return settle(_open_windows(now.drop("comp").join(several, "sig", "left_semi"), links), f"{root}/{name}")
+        return now.join(several, "sig", "left_semi")
 
     # First the pivot that most windows of a text name, then every pivot of the windows that are still open.
-    star = lambda w: _aligned(w.join(pivots, "sig").where("node <> pivot"), least)
+    star = lambda w: _aligned(w.join(pivots, "sig").where("node <> pivot"), run)
     top = star(live).groupBy("a").agg(F.max_by(F.struct("b", "shifts", "s", "e"), F.struct("windows", "b")).alias("p")).select("a", "p.*")
     verified(top, "best")
-    live = still_open("open1")
+    live = settle(_open_windows(undecided().drop("comp"), links), f"{root}/open")
     verified(star(live.where("open")), "pivots")
-    # Windows that still aren't done meet all texts, also through lists that others of theirs share.
-    live = still_open("open2")
-    some = live.where("open").select("sig").distinct()
-    rest = settle(_two_functions(live.join(some, "sig", "left_semi"), least), f"{root}/two")
-    both = rest.groupBy("sig").agg(F.count("*").alias("m"), F.max("open").alias("any")).where("m > 1 AND any").select("sig")
-    rest = rest.join(both, "sig", "left_semi").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = settle(rest, f"{root}/rest")
-    other = rest.select("sig", F.col("node").alias("pivot"), F.col("at").alias("pat"), F.col("l").alias("pl"), F.col("r").alias("pr"), F.col("open").alias("both"), F.col("comp").alias("pc"))
-    verified(_aligned(rest.where("open").join(other, "sig").where("comp <> pc AND (NOT both OR node < pivot)"), least), "rest")
+    # Lists that still have several classes: all their texts meet, done or not.
+    found = settle(_meet_lists(settle(undecided().select("sig", "node", "at", "comp"), f"{root}/rest"), root, least, percent), f"{root}/links-rest")
+    links, label = links.unionByName(found), merged(label, found.select("a", "b"), f"{root}/classes-rest")
     turned = links.where("a > b").select(F.col("b").alias("a"), F.col("b_start").alias("a_start"), F.col("b_end").alias("a_end"), F.col("a").alias("b"), F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end"))
     return settle(members, f"{root}/members"), links.where("a < b").unionByName(turned).distinct(), label
 
@@ -448,7 +582,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     """One row per document with a passage that another document has too.
 
     class_id: smallest doc_id that passages and copies connect it with; copy_of: smallest doc_id of the documents with
-    the same set of shingles; spans: its passages in words, as found in the text that stands for its copies, with the
+    the same words in the same order; spans: its passages in words, as found in the text that stands for its copies, with the
     doc_id of the other text.
     """
     members, links, label = passage_links(docs, words, percent)

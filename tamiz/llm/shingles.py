@@ -102,6 +102,21 @@ def shingle_sets(block: B.Block, width: int) -> list[np.ndarray]:
     return [np.unique(h[cut[i] : cut[i + 1]]) for i in range(block.rows)]
 
 
+def word_sequences(block: B.Block, width: int = 1) -> list[np.ndarray]:
+    """Two hashes of the words of each text in their order, none of a text without words; in place of ``shingle_sets``."""
+    words, text, _, _ = word_hashes(block)
+    cut = np.searchsorted(text, np.arange(block.rows + 1))
+    power = _powers(_BASE, int(np.diff(cut).max(initial=0)))
+    place = np.arange(len(words)) - cut[text]
+    some = np.flatnonzero(np.diff(cut))
+    out = [np.zeros(0, np.uint64)] * block.rows
+    if len(some):
+        both = [B.mix64(np.add.reduceat(x * power[place], cut[some]) ^ np.diff(cut)[some].astype(np.uint64)) for x in (words, B.mix64(words ^ np.uint64(_INVERSE)))]
+        for i, a, b in zip(some.tolist(), *both, strict=True):
+            out[i] = np.array([a, b], np.uint64)
+    return out
+
+
 #: Links that one task joins in memory (16 bytes each); more are joined by all.
 FEW_LINKS = 1 << 18
 

@@ -170,6 +170,41 @@ def test_passages_recall(spark):
     assert len(want) > 60 and len(found) >= 0.95 * len(want)
 
 
+def test_passages_are_all_found(spark):
+    """Passages at the limit: none of those that a search of all alignments finds is missed; nor longer ones with words put in."""
+    rng = random.Random(31)
+    words = lambda n: [rng.choice("abcdefghijklm") + rng.choice("nopqrst") + rng.choice("uvwxyz") + rng.choice("aeiou") for _ in range(n)]
+    rows, n = [], 150
+    for k in range(n):
+        p = words(50 + k % 3)
+        q = list(p)
+        q[rng.randrange(len(q))] = f"e{k}"
+        rows += [(2 * k, " ".join(words(rng.randrange(40)) + p + words(rng.randrange(60)))), (2 * k + 1, " ".join(words(rng.randrange(60)) + q + words(rng.randrange(40))))]
+    want = brute.alike(rows, [(2 * k, 2 * k + 1) for k in range(n)])
+    p = words(72)
+    rows += [(900, " ".join(words(30) + p + words(40))), (901, " ".join(words(60) + p[:36] + words(8) + p[36:] + words(20)))]
+    rows += [(910, " ".join(words(20) + ["the"] * 90 + words(30))), (911, " ".join(words(9) + ["the"] * 70 + words(40))), (912, " ".join(words(9) + ["the"] * 40 + words(40)))]
+    line = words(11)
+    rows += [(920, " ".join(line * 3)), (921, " ".join(line * 9)), (922, " ".join(words(30) + line * 9 + words(9)))]
+    # A line of 35 words that many texts have makes no passage.
+    line = words(35)
+    rows += [(1000 + k, " ".join(words(20) + line + words(20))) for k in range(40)]
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert len(want) == n
+    assert got == {d: d - d % 2 for d in range(2 * n)} | {900: 900, 901: 900, 910: 910, 911: 910, 921: 921, 922: 921}
+    assert passages.least_run(46, 80) == 21
+
+
+def test_lists_link_classes_once(spark):
+    """Texts of a list: links join classes, as few as needed, also between texts that others have linked already."""
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 1 << 31, 50)
+    rest = lambda: rng.integers(0, 1 << 31, 60)
+    x = np.stack([np.concatenate([rest(), p, rest()])[-185 + 15 :] if k < 30 else np.concatenate([rest(), p[:30], rest(), rest()])[:170] for k in range(60)]).astype(np.uint64)
+    pairs = {(int(min(a, b)), int(max(a, b))) for rows, kind in passages.candidates(x, np.zeros(60, int), np.arange(60), 41) for n, a in enumerate(rows) for m, b in enumerate(rows[:n]) if kind[0] == -1 or kind[n] != kind[m]}
+    assert {(a, b) for a, b in pairs if b < 30} == {(a, b) for b in range(30) for a in range(b)} and not any(b >= 30 for _, b in pairs)
+
+
 def test_passages_through_a_done_text(spark):
     """Variants that are alike only through a text which both pivots match, and which stands between them."""
     rng = random.Random(5)
