@@ -47,7 +47,7 @@ BAND = 3
 #: Pairs that a task verifies at once against one block.
 PAIRS = 1024
 #: Windows of a block whose surroundings one task cuts out, and of lists that one task compares, at most or so; places compared at once.
-CUTS, MEMBERS, ENTRIES = 1 << 15, 1 << 14, 1 << 22
+CUTS, MEMBERS, ENTRIES = 1 << 13, 1 << 12, 1 << 20
 WINDOWS = "sig long, node long, at int, l int, r int"
 PASSAGE = "a long, a_start long, a_end long, b long, b_start long, b_end long"
 
@@ -467,10 +467,14 @@ def _meet_lists(rows: DataFrame, root: str, least: int, percent: int) -> DataFra
         size_of = np.bincount(of)
         comp, node, at, first = comp[once], node[once].tolist(), at[once].tolist(), first[once].tolist()
         text = [np.frombuffer(x[i], np.uint32) for i in once]
-        full = (np.arange(len(once) * (2 * wide + 1), dtype=np.uint64) + np.uint64(1 << 32)).reshape(len(once), -1)
-        for i, v in enumerate(text):
-            k = first[i] - at[i] + wide
-            full[i, k : k + len(v)] = v
+
+        def spread_out(s: int, e: int) -> np.ndarray:
+            full = (np.arange((e - s) * (2 * wide + 1), dtype=np.uint64) + np.uint64(1 << 32)).reshape(e - s, -1)
+            for i in range(s, e):
+                k = first[i] - at[i] + wide
+                full[i - s, k : k + len(text[i])] = text[i]
+            return full
+
         names, comp = np.unique(comp, return_inverse=True)
         up = np.arange(len(names)).tolist()
 
@@ -480,32 +484,37 @@ def _meet_lists(rows: DataFrame, root: str, least: int, percent: int) -> DataFra
             return c
 
         out, klass, base = [], comp.tolist(), np.searchsorted(of, of)
-        tried: dict[int, np.ndarray] = {}
-        for group, kind in candidates(full, of, comp, need):
-            tops = np.array([top(klass[i]) for i in group.tolist()])
-            classes, counts = np.unique(tops, return_counts=True)
-            if len(classes) < 2:
-                continue
-            if kind[0] == -1:
-                turns = [(0, np.arange(1, len(group)))]
-            else:
-                turns = ((n, np.flatnonzero(kind != kind[n])) for n in np.flatnonzero(tops != classes[counts.argmax()]).tolist())
-            for n, others in turns:
-                i = int(group[n])
-                done = tried.setdefault(i, np.zeros(size_of[of[i]], bool))
-                others = group[others[tops[others] != tops[n]]]
-                others = others[~done[others - base[i]]]
-                for at_once in np.array_split(others, -(-len(others) // 1024)) if len(others) else []:
-                    done[at_once - base[i]] = True
-                    for j in at_once[may_agree(full[at_once], full[i], least, percent)].tolist():
-                        if top(klass[i]) == top(klass[j]):
-                            continue
-                        shift = (at[i] - first[i]) - (at[j] - first[j])
-                        there, back = (text[i], text[j], [shift]), (text[j], text[i], [-shift])
-                        runs = shared_runs(*there, least, percent) or [(*r[2:], *r[:2]) for r in shared_runs(*back, least, percent)] or joined_runs(*there, [], least, percent)
-                        for r in runs:
-                            out.append((node[i], r[0] + first[i], r[1] + first[i], node[j], r[2] + first[j], r[3] + first[j]))
-                            up[top(klass[i])] = top(klass[j])
+        ends, s = np.append(0, np.cumsum(size_of)), 0
+        while s < len(of):  # whole lists, as many as fit
+            e = int(max(ends[np.searchsorted(ends, s, "right")], ends[np.searchsorted(ends, s + MEMBERS, "right") - 1]))
+            full, tried = spread_out(s, e), {}
+            for group, kind in candidates(full, of[s:e], comp[s:e], need):
+                group = group + s
+                tops = np.array([top(klass[i]) for i in group.tolist()])
+                classes, counts = np.unique(tops, return_counts=True)
+                if len(classes) < 2:
+                    continue
+                if kind[0] == -1:
+                    turns = [(0, np.arange(1, len(group)))]
+                else:
+                    turns = ((n, np.flatnonzero(kind != kind[n])) for n in np.flatnonzero(tops != classes[counts.argmax()]).tolist())
+                for n, others in turns:
+                    i = int(group[n])
+                    done = tried.setdefault(i, np.zeros(size_of[of[i]], bool))
+                    others = group[others[tops[others] != tops[n]]]
+                    others = others[~done[others - base[i]]]
+                    for at_once in np.array_split(others, -(-len(others) // 1024)) if len(others) else []:
+                        done[at_once - base[i]] = True
+                        for j in at_once[may_agree(full[at_once - s], full[i - s], least, percent)].tolist():
+                            if top(klass[i]) == top(klass[j]):
+                                continue
+                            shift = (at[i] - first[i]) - (at[j] - first[j])
+                            there, back = (text[i], text[j], [shift]), (text[j], text[i], [-shift])
+                            runs = shared_runs(*there, least, percent) or [(*r[2:], *r[:2]) for r in shared_runs(*back, least, percent)] or joined_runs(*there, [], least, percent)
+                            for r in runs:
+                                out.append((node[i], r[0] + first[i], r[1] + first[i], node[j], r[2] + first[j], r[3] + first[j]))
+                                up[top(klass[i])] = top(klass[j])
+            s = e
         names = ("a", "a_start", "a_end", "b", "b_start", "b_end")
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(names, zip(*out, strict=True) if out else [[]] * 6, strict=True)})
 
