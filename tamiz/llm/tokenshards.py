@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +46,7 @@ PART_CHARS = 1 << 18
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+UNPLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
 CHUNK = re.compile(r"[^ \t\n\r]+")
 BLANK = re.compile(r"[ \t\n\r]")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -80,7 +82,7 @@ class Pieces(Table):
 
     def make(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.dtype.char, ids).tobytes()
 
 
 class Chunks(Table):
@@ -91,6 +93,10 @@ class Chunks(Table):
         self.pieces = pieces
 
     def make(self, chunk: str) -> bytes:
+        # A word, or a word and a mark after it, needs no search for its pieces.
+        word = chunk[:-1] if chunk[-1] in ".,;:!?" else chunk
+        if word.isascii() and word.isalpha():
+            return self.pieces[word.lower()] + (self.pieces[chunk[-1]] if len(word) < len(chunk) else b"")
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
             return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk.lower())))
         return np.array(self.pieces.tokenizer.encode(chunk, add_special_tokens=False).ids, self.pieces.dtype).tobytes()
@@ -115,7 +121,12 @@ class TextEncoder:
             return b""
         if not self.split:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(b"".join(map(self.chunks.__getitem__, CHUNK.findall(x))) for x in parts_of(text))
+        return b"".join(b"".join(map(self.chunks.__getitem__, chunks_of(x))) for x in parts_of(text))
+
+
+def chunks_of(part: str) -> list[str]:
+    """Its chunks, lower-cased at once if it has plain characters only, so that a word is encoded once for all its cases."""
+    return CHUNK.findall(part) if UNPLAIN.search(part) else part.lower().split()
 
 
 def parts_of(text: str, most: int = PART_CHARS) -> Iterator[str]:

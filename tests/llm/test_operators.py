@@ -195,6 +195,19 @@ def test_passages_are_all_found(spark):
     assert passages.least_run(46, 80) == 21
 
 
+def test_words_are_encoded_once():
+    """Words that differ in case share an encoding; ids are the tokenizer's, odd white space and marks included."""
+    import public_tokenizers
+
+    encode = tokenshards.TextEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["Word WORD word", "word, Word! it's IT'S don't", "a\x0bb\x1cc\xa0d\u2003e", "Übung ÜBUNG, straße × ÷ µ ª", "<|endoftext|> <| x", "İstanbul ΣΑΣ word...", "x.. .y , ,, 12,3 É! é?", " \r\n\t", "."]
+    for t in texts:
+        assert np.frombuffer(encode.encode(t), encode.dtype).tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids, t
+    encode = tokenshards.TextEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    encode.encode(texts[0])
+    assert len(encode.chunks) == 1
+
+
 def test_lists_link_classes_once(spark):
     """Texts of a list: links join classes, as few as needed, also between texts that others have linked already."""
     rng = np.random.default_rng(3)
