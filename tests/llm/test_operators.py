@@ -208,6 +208,29 @@ def test_words_are_encoded_once():
     assert len(encode.chunks) == 1
 
 
+def test_word_tables_keep_what_returns(monkeypatch):
+    """Tables that overflow keep the words that every batch has; ids are the tokenizer's in batches of any size."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenshards, "KEPT", 24)
+    monkeypatch.setattr(tokenshards, "BATCH_CHARS", 120)
+    encode, made = tokenshards.TextEncoder(str(public_tokenizers.path("word_bpe_49k.json"))), []
+    make = encode.chunks.make
+    encode.chunks.make = lambda fresh: (made.extend(fresh), make(fresh))[1]
+    rng = np.random.default_rng(7)
+    new = lambda n: ["".join(rng.choice(list("abdeor"), 9)) for _ in range(n)]
+    texts = [None, "", "a日 b Word. word ΣΑΣ", "x" * 300 + " it's", " the\n", "12,3..\t(é)"]
+    texts += [" ".join(["The river's", *new(5), "über, THE", *new(4), "river"]) for _ in range(60)]
+    at, got = [], []
+    for ids, last in encode.parts(texts):
+        at.append(ids)
+        if last:
+            got.append(np.frombuffer(b"".join(at), encode.dtype).tolist())
+            at = []
+    assert got == [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts] and not at
+    assert made.count(b"the") == made.count(b"river") == 1 and len(encode.chunks) <= 24 + 40 and len(encode.pieces) <= 24 + 40
+
+
 def test_lists_link_classes_once(spark):
     """Texts of a list: links join classes, as few as needed, also between texts that others have linked already."""
     rng = np.random.default_rng(3)
