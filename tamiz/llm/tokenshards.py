@@ -172,14 +172,15 @@ class TextEncoder:
         parts = pa.LargeStringArray.from_buffers(len(plain), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(plain)))
         words = pa.compute.ascii_split_whitespace(parts)
         coded = words.flatten().dictionary_encode()
-        distinct, code = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         known = self.chunks.of(set(distinct).union(*odd))
         ids = [known[x] for x in distinct]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        first, n = np.cumsum(size) - size, size[code]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(ids), self.dtype)[np.arange(ends[-1]) + np.repeat(first[code] - ends[:-1], n)]
-        cuts = zip(ends[np.asarray(words.offsets)[:-1]].tolist(), ends[np.asarray(words.offsets)[1:]].tolist(), strict=True)
+        ends = np.cumsum([0, *map(len, ids)])
+        kinds = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(ids))])
+        ids = kinds.take(coded.indices)  # of every word, one after another
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), memoryview(ids.buffers()[2] or b"")
+        cut = ends[np.asarray(words.offsets)].tolist()
+        cuts = zip(cut[:-1], cut[1:], strict=True)
         for x in held:
             if isinstance(x, list):
                 yield b"".join([known[y] for y in x]), False
@@ -187,7 +188,7 @@ class TextEncoder:
                 yield b"", True
             else:
                 a, b = next(cuts)
-                yield ids[a:b].tobytes(), False
+                yield bytes(data[a:b]), False
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(ids for ids, _ in self.parts([text]))
